@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from codeweft.llm import chat, decontam, licenses, urls
+from codeweft.llm import chat, decontam, licenses, pii, tokens, urls
 
 QUERIES = {
+    "op1_pii": pii.op1_pii,
     "op2_decontamination": decontam.op2_decontamination,
+    "op5_token_count": tokens.op5_token_count,
     "op6_chat_format": chat.op6_chat_format,
     "op9_license_scan": licenses.op9_license_scan,
     "op10_url_filter": urls.op10_url_filter,
