@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from codeweft.llm import chat, decontam, licenses, pii, tokens, urls
+from codeweft.llm import chat, decontam, licenses, packing, pii, tokens, urls
 
 QUERIES = {
     "op1_pii": pii.op1_pii,
     "op2_decontamination": decontam.op2_decontamination,
+    "op4_best_fit_packing": packing.op4_best_fit_packing,
     "op5_token_count": tokens.op5_token_count,
     "op6_chat_format": chat.op6_chat_format,
     "op9_license_scan": licenses.op9_license_scan,
