@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codeweft.llm import words as wd
-from codeweft.llm.tables import Workspace
+from codeweft.llm.tables import Workspace, sheltered
 
 KINDS = ("email", "ip", "card", "phone")
 ROUNDS = 3
@@ -287,7 +287,8 @@ def find_pii(documents: DataFrame) -> DataFrame:
 def redact(documents: DataFrame) -> DataFrame:
     """The documents, with every span in ``text`` replaced by its kind in angle brackets; null stays null."""
     ws = Workspace(documents.sparkSession, "redact")
-    columns = documents.columns
+    docs, restored = sheltered(documents, ("text",))
+    columns = docs.columns
 
     def masked(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in rows:
@@ -303,8 +304,8 @@ def redact(documents: DataFrame) -> DataFrame:
                 out.append(text)
             yield pa.RecordBatch.from_arrays([pa.array(out, b.column("text").type) if c == "text" else b.column(c) for c in columns], columns)
 
-    schema = documents.schema
-    return scan(documents, columns, ws).select(*[f"`{c}`" for c in columns], "_all").mapInArrow(masked, schema)
+    kept = scan(docs, columns, ws).select(*columns, "_all")
+    return restored(kept.mapInArrow(masked, docs.schema))
 
 
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from codeweft.llm import chat, decontam, licenses, packing, pii, tokens, urls
+from codeweft.llm import chat, decontam, licenses, packing, pii, quality, tokens, urls
 
 QUERIES = {
     "op1_pii": pii.op1_pii,
@@ -10,6 +10,7 @@ QUERIES = {
     "op4_best_fit_packing": packing.op4_best_fit_packing,
     "op5_token_count": tokens.op5_token_count,
     "op6_chat_format": chat.op6_chat_format,
+    "op7_quality_rules": quality.op7_quality_rules,
     "op9_license_scan": licenses.op9_license_scan,
     "op10_url_filter": urls.op10_url_filter,
 }

@@ -36,6 +36,16 @@ def workers_import_package(spark: SparkSession) -> None:
         env["PYTHONPATH"] = f"{have}:{root}".strip(":")
 
 
+def sheltered(df: DataFrame, used: tuple[str, ...]):
+    """``df`` with all columns but ``used`` under names that clash with nothing, and what gives the names back."""
+    names = {c: c if c in used else f"_own{i}" for i, c in enumerate(df.columns)}
+
+    def restored(out: DataFrame) -> DataFrame:
+        return out.select(*[out[new].alias(old) for old, new in names.items()])
+
+    return df.select(*[df[f"`{old}`"].alias(new) for old, new in names.items()]), restored
+
+
 class Workspace:
     """A folder of one job's intermediate tables; removed when the driver exits."""
 
