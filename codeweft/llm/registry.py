@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from codeweft.llm import chat, decontam, licenses, packing, pii, quality, tokens, urls
+from codeweft.llm import chat, decontam, licenses, neardup, packing, pii, quality, tokens, urls
 
 QUERIES = {
     "op1_pii": pii.op1_pii,
@@ -11,6 +11,7 @@ QUERIES = {
     "op5_token_count": tokens.op5_token_count,
     "op6_chat_format": chat.op6_chat_format,
     "op7_quality_rules": quality.op7_quality_rules,
+    "op8_minhash_neardup": neardup.op8_minhash_neardup,
     "op9_license_scan": licenses.op9_license_scan,
     "op10_url_filter": urls.op10_url_filter,
 }
@@ -18,5 +19,6 @@ QUERIES = {
 ORACLES = {
     "op2_decontamination": decontam.OP2_SQL,
     "op6_chat_format": chat.OP6_SQL,
+    "op8_minhash_neardup": neardup.OP8_SQL,
     "op9_license_scan": licenses.OP9_SQL,
 }
