@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from codeweft.llm import chat, decontam, licenses, neardup, packing, pii, quality, tokens, urls
+from codeweft.llm import chat, decontam, licenses, neardup, packing, pii, quality, substrings, tokens, urls
 
 QUERIES = {
     "op1_pii": pii.op1_pii,
     "op2_decontamination": decontam.op2_decontamination,
+    "op3_substring_dedup": substrings.op3_substring_dedup,
     "op4_best_fit_packing": packing.op4_best_fit_packing,
     "op5_token_count": tokens.op5_token_count,
     "op6_chat_format": chat.op6_chat_format,
