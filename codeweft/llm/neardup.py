@@ -79,15 +79,17 @@ def minhash(grams: np.ndarray) -> np.ndarray:
     return out
 
 
-def _sketched(width: int):
+def _sketched(width: int, percent: int):
+    # A set of n and a different one share n / (n + 1) at most: smaller ones link with no other.
+    least = math.ceil(percent / (100 - percent)) if percent < 100 else 1 << 62
+
     def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in rows:
             n, key, sig = [], [], []
             for grams in shingle_sets(b.column(1), width):
                 n.append(0 if grams is None else len(grams))
                 key.append(None if grams is None else hashlib.blake2b(grams.tobytes(), digest_size=16).digest())
-                # Below four shingles no different set reaches four fifths.
-                sig.append(None if grams is None or len(grams) < 4 else minhash(grams).tobytes())
+                sig.append(None if grams is None or len(grams) < least else minhash(grams).tobytes())
             cols = [b.column(0), pa.array(n, pa.int64()), pa.array(key, pa.binary()), pa.array(sig, pa.binary())]
             yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n_shingles", "set", "sig"])
 
@@ -254,7 +256,7 @@ def classes(documents: DataFrame, width: int = 4, percent: int = 80, miss: float
     ws = Workspace(spark, "neardup")
     docs = documents.select("doc_id", "text")
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = ws.put(docs.mapInArrow(_sketched(width), f"doc_id {kind}, n_shingles long, set binary, sig binary"))
+    rows = ws.put(docs.mapInArrow(_sketched(width, percent), f"doc_id {kind}, n_shingles long, set binary, sig binary"))
     reps = rows.where("set is not null").groupBy("set").agg(
         F.min("doc_id").alias("rep_id"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig")
     )
