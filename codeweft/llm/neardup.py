@@ -7,10 +7,12 @@ reaches the threshold falls below the chosen miss probability; survivors are
 verified exactly on full shingle sets. Links make components.
 
 Within a bucket of any size pairs are not spelled out. Each round tests members
-against one pivot of their bucket and merges what links; only members of different
-components go on to the next round, with other pivots. What is left in the end,
-pairs of one bucket in different components that were never tested, is tested in
-full, so that no candidate is lost whatever the sizes.
+against one pivot of their bucket and merges what links; only buckets that hold
+several components go on, with other pivots. Then members that can't link any more
+are settled by an exact bound: what a set may share with a set of another component
+is at most the number of its shingles that occur in another component at all. What
+is left, pairs of one bucket in different components that the bound allows, is
+tested in full, so that no candidate is lost whatever the sizes.
 
 Defined cases: a text without words, or null, has no shingles and links with
 nothing; fewer words than a shingle are one shingle, the whole sequence; rows that
@@ -42,6 +44,8 @@ BATCH = 16
 MISS = 1e-7
 #: Pivot rounds before the rest is tested in full; fewer if the rest is small.
 PIVOT_ROUNDS = 6
+#: Pivot rounds before the first use of the bound.
+FREE_ROUNDS = 2
 #: Bits of the filter that finds the texts whose sets are verified: 4 MB, whatever the input.
 FILTER_BITS = 25
 
@@ -156,17 +160,39 @@ def _id_bits(ids: DataFrame) -> np.ndarray:
     return bits.view(np.uint8)
 
 
+def _sets(documents: DataFrame, reps: DataFrame, rids: DataFrame, ws: Workspace, width: int) -> DataFrame:
+    """``(rid, grams)``: the full sets of the given representatives, from their texts."""
+    named = ws.put(reps.join(rids, "rid", "left_semi").select("rid", "set", F.col("rep_id").alias("doc_id")))
+    bits = documents.sparkSession.sparkContext.broadcast(_id_bits(named.select("doc_id")))
+
+    def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in rows:
+            at = b.column(0).to_numpy().view(wd.U) >> wd.U(64 - FILTER_BITS)
+            here = np.flatnonzero((bits.value[at >> wd.U(3)] >> (at & wd.U(7)).astype(np.uint8)) & 1)
+            for lo in range(0, len(here), 200):
+                text = b.column(1).take(pa.array(here[lo : lo + 200]))
+                sets = [g for g in shingle_sets(text, width) if g is not None]
+                key = [hashlib.blake2b(g.tobytes(), digest_size=16).digest() for g in sets]
+                grams = pa.array([g.view(np.int64) for g in sets], pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([pa.array(key, pa.binary()), grams], ["set", "grams"])
+
+    every = documents.select(F.xxhash64("doc_id"), "text").mapInArrow(batches, "set binary, grams array<long>")
+    # One text may come several times, under ids that share a filter bit or repeat.
+    found = every.join(named, "set").groupBy("rid").agg(F.first("grams").alias("grams"))
+    return ws.put(found.select("rid", "grams", F.size("grams").alias("n")))
+
+
 class _Links:
     """Verified links between sets; tests each pair once."""
 
-    def __init__(self, documents: DataFrame, reps: DataFrame, ws: Workspace, width: int, percent: int, miss: float):
-        self.documents, self.reps, self.ws, self.width, self.percent, self.miss = documents, reps, ws, width, percent, miss
+    def __init__(self, reps: DataFrame, sets: DataFrame, ws: Workspace, percent: int, miss: float):
+        self.reps, self.sets, self.ws, self.percent, self.miss = reps, sets, ws, percent, miss
         self.tested: DataFrame | None = None
         self.edges: DataFrame | None = None
 
     def test(self, pairs: DataFrame) -> bool:
         """Verify ``pairs(a, b)`` not tested before; whether there were any."""
-        ws, t = self.ws, self.percent / 100
+        ws = self.ws
         fresh = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         if self.tested is not None:
             fresh = fresh.join(self.tested, ["a", "b"], "left_anti")
@@ -177,76 +203,90 @@ class _Links:
         side = lambda x: self.reps.select(F.col("rid").alias(x), F.col("sig").alias(f"s{x}"), F.col("n_shingles").alias(f"n{x}"))
         near = fresh.join(side("a"), "a").join(side("b"), "b")
         near = near.where(f"100 * least(na, nb) >= {self.percent} * greatest(na, nb)").select("a", "b", "sa", "sb")
-        near = ws.put(near.mapInArrow(_survivors(t, self.miss), "a long, b long"))
+        near = ws.put(near.mapInArrow(_survivors(self.percent / 100, self.miss), "a long, b long"))
         found = ws.put(self._exact(near))
         self.edges = found if self.edges is None else self.edges.union(found)
         return True
 
     def _exact(self, pairs: DataFrame) -> DataFrame:
-        """The pairs whose full sets reach the threshold. Sets of members are shuffled once a pair, those of pivots once."""
-        need = pairs.select(F.col("a").alias("rid")).union(pairs.select("b")).distinct()
-        named = self.ws.put(self.reps.join(need, "rid", "left_semi").select("rid", "set", F.col("rep_id").alias("doc_id")))
-        spark, width = self.documents.sparkSession, self.width
-        bits = spark.sparkContext.broadcast(_id_bits(named.select("doc_id")))
-
-        def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in rows:
-                at = b.column(0).to_numpy().view(wd.U) >> wd.U(64 - FILTER_BITS)
-                here = np.flatnonzero((bits.value[at >> wd.U(3)] >> (at & wd.U(7)).astype(np.uint8)) & 1)
-                for lo in range(0, len(here), 500):
-                    text = b.column(1).take(pa.array(here[lo : lo + 500]))
-                    sets = [g for g in shingle_sets(text, width) if g is not None]
-                    key = [hashlib.blake2b(g.tobytes(), digest_size=16).digest() for g in sets]
-                    grams = pa.array([g.view(np.int64) for g in sets], pa.list_(pa.int64()))
-                    yield pa.RecordBatch.from_arrays([pa.array(key, pa.binary()), grams], ["set", "grams"])
-
-        every = self.documents.select(F.xxhash64("doc_id"), "text").mapInArrow(batches, "set binary, grams array<long>")
-        sets = every.join(named, "set").select("rid", "grams").dropDuplicates(["rid"])
-        sets = self.ws.put(sets)
-        own = lambda x: sets.select(F.col("rid").alias(x), F.col("grams").alias(f"g{x}"))
+        """The pairs whose full sets reach the threshold. A pivot's set is shuffled once, its partners' once a pair."""
+        own = lambda x: self.sets.select(F.col("rid").alias(x), F.col("grams").alias(f"g{x}"))
         both = pairs.join(own("b"), "b").join(own("a"), "a")
         shared = F.size(F.array_intersect("ga", "gb"))
         counted = both.select("a", "b", shared.alias("s"), F.size("ga").alias("x"), F.size("gb").alias("y"))
         return counted.where(f"100 * s >= {self.percent} * (x + y - s)").select("a", "b")
 
 
-def _labelled(shared: DataFrame, links: _Links, ws: Workspace) -> tuple[DataFrame, DataFrame | None]:
+def _mixed(members: DataFrame, ws: Workspace) -> DataFrame:
+    """Members of the buckets that hold more than one label."""
+    mixed = members.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi")
+    return ws.put(members.join(mixed.select("bucket"), "bucket", "left_semi"))
+
+
+def _labelled(members: DataFrame, links: _Links, ws: Workspace) -> tuple[DataFrame, DataFrame | None]:
     """Bucket members with their component, in buckets that still hold several; and all labels."""
     if links.edges is None or links.edges.isEmpty():
-        return shared.withColumn("label", F.col("rid")), None
+        return members, None
     labels = ws.put(components(links.edges, ws))
-    named = shared.join(labels, shared["rid"] == labels["id"], "left")
-    named = ws.put(named.select("bucket", "rid", F.coalesce("component", "rid").alias("label")))
-    mixed = named.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi")
-    return ws.put(named.join(mixed.select("bucket"), "bucket", "left_semi")), labels
+    named = members.drop("label").join(labels, F.col("rid") == F.col("id"), "left")
+    return _mixed(named.select("bucket", "rid", F.coalesce("component", "rid").alias("label")), ws), labels
+
+
+def _possible(left: DataFrame, sets: DataFrame, ws: Workspace, percent: int) -> DataFrame:
+    """Members that may still link with a member of their bucket in another component, with ``n`` and ``s``.
+
+    ``s`` shingles of a set of ``n`` occur in another component, so no set of ``m``
+    shingles there can be more similar than s / (n + m - s), nor than m / n.
+    """
+    pool = left.select("rid", "label").distinct()
+    held = ws.put(sets.join(pool, "rid").select("rid", "label", F.explode("grams").alias("g")))
+    crossing = held.groupBy("g").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("g")
+    s = held.join(crossing, "g").groupBy("rid").agg(F.count("*").alias("s"))
+    sized = left.join(sets.select("rid", "n"), "rid").join(s, "rid", "left").withColumn("s", F.coalesce("s", F.lit(0)))
+    least = sized.groupBy("bucket").agg(F.min("n").alias("m"))
+    can = sized.join(least, "bucket").where(f"100 * s >= {percent} * (n + greatest(m, n * {percent} / 100) - s)")
+    out = _mixed(can.select("bucket", "rid", "label", "n", "s"), ws)
+    ws.drop(held)
+    return out
+
+
+def _open_pairs(left: DataFrame) -> int:
+    """Pairs of one bucket in different components, counted in each bucket."""
+    groups = left.groupBy("bucket", "label").agg(F.count("*").alias("c"))
+    groups = groups.groupBy("bucket").agg(F.sum("c").alias("m"), F.sum(F.col("c") * F.col("c")).alias("q"))
+    return groups.agg(F.sum((F.col("m") * F.col("m") - F.col("q")) / 2)).first()[0] or 0
 
 
 def link_sets(documents: DataFrame, reps: DataFrame, ws: Workspace, width: int, percent: int, miss: float) -> DataFrame | None:
     """``(id, component)`` of the sets that are linked; None if there are none."""
     banded = reps.where("sig is not null").select("rid", "sig").mapInArrow(_banded, "bucket long, rid long")
     sizes = banded.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
-    shared = ws.put(banded.join(sizes, "bucket"))
-    if shared.isEmpty():
+    left = ws.put(banded.join(sizes, "bucket").withColumn("label", F.col("rid")))
+    if left.isEmpty():
         return None
-    links = _Links(documents, reps, ws, width, percent, miss)
-    total = reps.count()
-    left, labels = shared.withColumn("label", F.col("rid")), None
+    sets = _sets(documents, reps, left.select("rid").distinct(), ws, width)
+    links, labels = _Links(reps, sets, ws, percent, miss), None
+    few, before = 4 * left.select("rid").distinct().count(), math.inf
     for turn in range(PIVOT_ROUNDS):
-        groups = left.groupBy("bucket", "label").agg(F.count("*").alias("c"))
-        groups = groups.groupBy("bucket").agg(F.sum("c").alias("m"), F.sum(F.col("c") * F.col("c")).alias("q"))
-        pairs = groups.agg(F.sum((F.col("m") * F.col("m") - F.col("q")) / 2)).first()[0] or 0
-        if turn and pairs <= total:
-            break
         # The first pivots are the same in all bands of a group, later ones differ.
         rank = F.struct("rid", "label") if not turn else F.struct(F.xxhash64("rid", "bucket", F.lit(turn)).alias("h"), "rid", "label")
         pivot = left.groupBy("bucket").agg(F.min(rank).alias("p")).select("bucket", F.col("p.rid").alias("pivot"), F.col("p.label").alias("own"))
         found = left.join(pivot, "bucket").where("label <> own").select(F.col("pivot").alias("a"), F.col("rid").alias("b"))
         links.test(found)
-        left, labels = _labelled(shared, links, ws)
-    other = left.select("bucket", F.col("rid").alias("b"), F.col("label").alias("lb"))
-    rest = left.select("bucket", F.col("rid").alias("a"), F.col("label").alias("la")).join(other, "bucket").where("la < lb")
-    if links.test(rest.select("a", "b")):
-        _, labels = _labelled(shared, links, ws)
+        left, labels = _labelled(left, links, ws)
+        if turn + 1 >= FREE_ROUNDS:
+            left = _possible(left.select("bucket", "rid", "label"), sets, ws, percent)
+            now = _open_pairs(left)
+            if now <= few or now > 0.8 * before:  # few enough to try, or pivots no longer settle much
+                break
+            before = now
+    a = left.select("bucket", *[F.col(c).alias(f"{c}_a") for c in ("rid", "label", "n", "s")])
+    b = left.select("bucket", *[F.col(c).alias(f"{c}_b") for c in ("rid", "label", "n", "s")])
+    s = "least(s_a, s_b)"
+    allowed = F.expr(f"label_a < label_b and 100 * {s} >= {percent} * (n_a + n_b - {s})")
+    rest = a.join(b, "bucket").where(allowed)
+    if links.test(rest.select(F.col("rid_a").alias("a"), F.col("rid_b").alias("b"))):
+        _, labels = _labelled(left, links, ws)
     return labels
 
 
