@@ -11,8 +11,8 @@ against one pivot of their bucket and merges what links; only buckets that hold
 several components go on, with other pivots. Then members that can't link any more
 are settled by an exact bound: what a set may share with a set of another component
 is at most the number of its shingles that occur in another component at all. What
-is left, pairs of one bucket in different components that the bound allows, is
-tested in full, so that no candidate is lost whatever the sizes.
+is left is compared in full, in pairs of blocks of bounded size whose members'
+pairs never become rows, so that no candidate is lost whatever the sizes.
 
 Defined cases: a text without words, or null, has no shingles and links with
 nothing; fewer words than a shingle are one shingle, the whole sequence; rows that
@@ -42,10 +42,10 @@ HASHES = BANDS * ROWS
 BATCH = 16
 #: Posterior chance of a true link below which a comparison stops.
 MISS = 1e-7
-#: Pivot rounds before the rest is tested in full; fewer if the rest is small.
-PIVOT_ROUNDS = 6
-#: Pivot rounds before the first use of the bound.
-FREE_ROUNDS = 2
+#: Rounds of pivots before the rest is compared in full.
+PIVOT_ROUNDS = 2
+#: Shingles of a block of sets, about: 4 MB.
+BLOCK_SHINGLES = 500_000
 #: Bits of the filter that finds the texts whose sets are verified: 4 MB, whatever the input.
 FILTER_BITS = 25
 
@@ -233,7 +233,7 @@ def _labelled(members: DataFrame, links: _Links, ws: Workspace) -> tuple[DataFra
 
 
 def _possible(left: DataFrame, sets: DataFrame, ws: Workspace, percent: int) -> DataFrame:
-    """Members that may still link with a member of their bucket in another component, with ``n`` and ``s``.
+    """Members that may still link with a member of their bucket in another component.
 
     ``s`` shingles of a set of ``n`` occur in another component, so no set of ``m``
     shingles there can be more similar than s / (n + m - s), nor than m / n.
@@ -245,16 +245,54 @@ def _possible(left: DataFrame, sets: DataFrame, ws: Workspace, percent: int) ->
     sized = left.join(sets.select("rid", "n"), "rid").join(s, "rid", "left").withColumn("s", F.coalesce("s", F.lit(0)))
     least = sized.groupBy("bucket").agg(F.min("n").alias("m"))
     can = sized.join(least, "bucket").where(f"100 * s >= {percent} * (n + greatest(m, n * {percent} / 100) - s)")
-    out = _mixed(can.select("bucket", "rid", "label", "n", "s"), ws)
+    out = _mixed(can.select("bucket", "rid", "label"), ws)
     ws.drop(held)
     return out
 
 
-def _open_pairs(left: DataFrame) -> int:
-    """Pairs of one bucket in different components, counted in each bucket."""
-    groups = left.groupBy("bucket", "label").agg(F.count("*").alias("c"))
-    groups = groups.groupBy("bucket").agg(F.sum("c").alias("m"), F.sum(F.col("c") * F.col("c")).alias("q"))
-    return groups.agg(F.sum((F.col("m") * F.col("m") - F.col("q")) / 2)).first()[0] or 0
+def _compared(percent: int):
+    """Edges between sets of different labels in a pair of blocks, one for each set and label at most."""
+
+    def run(key, t):
+        rid, label, block = (t.column(c).to_numpy() for c in ("rid", "label", "block"))
+        grams = pa.concat_arrays(t.column("grams").chunks)
+        _, ids = np.unique(grams.flatten().to_numpy(), return_inverse=True)
+        size = np.diff(grams.offsets.to_numpy())
+        start = np.cumsum(size) - size
+        names, counts = np.unique(label, return_counts=True)
+        # Of two different labels at least one is not the most frequent one.
+        rare = np.flatnonzero(label != names[np.argmax(counts)])
+        mark, out = np.zeros(int(ids.max()) + 1, np.int32), []
+        same = key[1].as_py() == key[2].as_py()
+        for u in rare:
+            own = ids[start[u] : start[u] + size[u]]
+            mark[own] = 1
+            shared = np.add.reduceat(mark[ids], start)
+            mark[own] = 0
+            near = 100 * shared >= percent * (size[u] + size - shared)
+            hit = np.flatnonzero(near & (label != label[u]) & (same | (block != block[u])))
+            _, first = np.unique(label[hit], return_index=True)
+            out += [(int(rid[u]), int(rid[v])) for v in hit[first]]
+        a, b = zip(*out, strict=True) if out else ((), ())
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return run
+
+
+def _rest(left: DataFrame, sets: DataFrame, ws: Workspace, percent: int) -> DataFrame:
+    """Links between the members left of buckets that meet, by exact comparison of blocks."""
+    pivot = left.groupBy("bucket").agg(F.min("rid").alias("p"))
+    meet = left.join(pivot, "bucket").select(F.col("p").alias("a"), F.col("rid").alias("b")).distinct()
+    group = ws.put(components(meet, ws))
+    members = left.select("rid", "label").distinct().join(group, F.col("rid") == F.col("id")).select("rid", "label", F.col("component").alias("group"))
+    sized = ws.put(members.join(sets, "rid"))
+    blocks = F.ceil(F.sum("n") / BLOCK_SHINGLES).cast("int")
+    sized = sized.join(sized.groupBy("group").agg(blocks.alias("blocks")), "group")
+    sized = sized.withColumn("block", F.pmod(F.xxhash64("rid"), F.col("blocks")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
+    dealt = sized.select("group", "rid", "label", "block", "grams", other)
+    dealt = dealt.select("group", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "rid", "label", "block", "grams")
+    return dealt.groupBy("group", "i", "j").applyInArrow(_compared(percent), "a long, b long")
 
 
 def link_sets(documents: DataFrame, reps: DataFrame, ws: Workspace, width: int, percent: int, miss: float) -> DataFrame | None:
@@ -266,7 +304,6 @@ def link_sets(documents: DataFrame, reps: DataFrame, ws: Workspace, width: int,
         return None
     sets = _sets(documents, reps, left.select("rid").distinct(), ws, width)
     links, labels = _Links(reps, sets, ws, percent, miss), None
-    few, before = 4 * left.select("rid").distinct().count(), math.inf
     for turn in range(PIVOT_ROUNDS):
         # The first pivots are the same in all bands of a group, later ones differ.
         rank = F.struct("rid", "label") if not turn else F.struct(F.xxhash64("rid", "bucket", F.lit(turn)).alias("h"), "rid", "label")
@@ -274,20 +311,13 @@ def link_sets(documents: DataFrame, reps: DataFrame, ws: Workspace, width: int,
         found = left.join(pivot, "bucket").where("label <> own").select(F.col("pivot").alias("a"), F.col("rid").alias("b"))
         links.test(found)
         left, labels = _labelled(left, links, ws)
-        if turn + 1 >= FREE_ROUNDS:
-            left = _possible(left.select("bucket", "rid", "label"), sets, ws, percent)
-            now = _open_pairs(left)
-            if now <= few or now > 0.8 * before:  # few enough to try, or pivots no longer settle much
-                break
-            before = now
-    a = left.select("bucket", *[F.col(c).alias(f"{c}_a") for c in ("rid", "label", "n", "s")])
-    b = left.select("bucket", *[F.col(c).alias(f"{c}_b") for c in ("rid", "label", "n", "s")])
-    s = "least(s_a, s_b)"
-    allowed = F.expr(f"label_a < label_b and 100 * {s} >= {percent} * (n_a + n_b - {s})")
-    rest = a.join(b, "bucket").where(allowed)
-    if links.test(rest.select(F.col("rid_a").alias("a"), F.col("rid_b").alias("b"))):
-        _, labels = _labelled(left, links, ws)
-    return labels
+    left = _possible(left, sets, ws, percent)
+    if left.isEmpty():
+        return labels
+    found = ws.put(_rest(left, sets, ws, percent))
+    if found.isEmpty():
+        return labels
+    return components(found if links.edges is None else links.edges.union(found), ws)
 
 
 def classes(documents: DataFrame, width: int = 4, percent: int = 80, miss: float = MISS) -> DataFrame:
