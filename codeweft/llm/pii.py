@@ -274,7 +274,8 @@ def find_pii(documents: DataFrame) -> DataFrame:
     """``doc_id, n_email, n_ip, n_card, n_phone, base_sha256, n_added, spans`` for every row."""
     ws = Workspace(documents.sparkSession, "pii")
     seen = scan(documents.select("doc_id", "text"), ["doc_id"], ws)
-    counts = [F.size(F.filter("_base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{n}") for k, n in enumerate(KINDS)]
+    kinds = F.transform("_base", lambda s: s["kind"])
+    counts = [F.size(F.filter(kinds, (lambda k: lambda x: x == k)(k))).cast("long").alias(f"n_{n}") for k, n in enumerate(KINDS)]
     return seen.select(
         "doc_id",
         *counts,
