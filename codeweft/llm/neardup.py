@@ -16,8 +16,8 @@ pairs never become rows, so that no candidate is lost whatever the sizes.
 
 Defined cases: a text without words, or null, has no shingles and links with
 nothing; fewer words than a shingle are one shingle, the whole sequence; rows that
-repeat an id are documents of their own with that id, and are kept or not alike; a
-null id is never the smallest unless its component has no other; an empty table
+repeat an id are documents of their own with that id; a null id is never the
+smallest unless its component has no other; an empty table
 gives an empty result; extra columns are ignored by classes and kept by keep_first.
 """
 
@@ -29,7 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codeweft.llm import words as wd
@@ -94,8 +94,8 @@ def _sketched(width: int, percent: int):
                 n.append(0 if grams is None else len(grams))
                 key.append(None if grams is None else hashlib.blake2b(grams.tobytes(), digest_size=16).digest())
                 sig.append(None if grams is None or len(grams) < least else minhash(grams).tobytes())
-            cols = [b.column(0), pa.array(n, pa.int64()), pa.array(key, pa.binary()), pa.array(sig, pa.binary())]
-            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n_shingles", "set", "sig"])
+            cols = [b.column(0), b.column(2), pa.array(n, pa.int64()), pa.array(key, pa.binary()), pa.array(sig, pa.binary())]
+            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "row_key", "n_shingles", "set", "sig"])
 
     return batches
 
@@ -320,13 +320,19 @@ def link_sets(documents: DataFrame, reps: DataFrame, ws: Workspace, width: int,
     return components(found if links.edges is None else links.edges.union(found), ws)
 
 
+def row_key() -> Column:
+    """Tells rows apart that share an id."""
+    return F.xxhash64("doc_id", "text")
+
+
 def classes(documents: DataFrame, width: int = 4, percent: int = 80, miss: float = MISS) -> DataFrame:
-    """``doc_id, n_shingles, component_id, kept`` for every row."""
+    """``doc_id, n_shingles, component_id, kept, row_key`` for every row."""
     spark = documents.sparkSession
     ws = Workspace(spark, "neardup")
     docs = documents.select("doc_id", "text")
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = ws.put(docs.mapInArrow(_sketched(width, percent), f"doc_id {kind}, n_shingles long, set binary, sig binary"))
+    keyed = docs.select("doc_id", "text", row_key())
+    rows = ws.put(keyed.mapInArrow(_sketched(width, percent), f"doc_id {kind}, row_key long, n_shingles long, set binary, sig binary"))
     reps = rows.where("set is not null").groupBy("set").agg(
         F.min("doc_id").alias("rep_id"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig")
     )
@@ -340,21 +346,21 @@ def classes(documents: DataFrame, width: int = 4, percent: int = 80, miss: float
         named = named.select("set", "rep_id", "label")
         least = named.groupBy("label").agg(F.min("rep_id").alias("component"))
         member = named.join(least, "label").select("set", "component")
-    out = rows.select("doc_id", "n_shingles", "set").join(member, "set", "left")
+    out = rows.select("doc_id", "row_key", "n_shingles", "set").join(member, "set", "left")
     component = F.when(F.col("set").isNull(), F.col("doc_id")).otherwise(F.col("component"))
-    out = out.select("doc_id", "n_shingles", component.alias("component_id"))
-    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    out = out.select("doc_id", "n_shingles", component.alias("component_id"), "row_key")
+    return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "row_key")
 
 
 def keep_first(documents: DataFrame, width: int = 5, percent: int = 80, miss: float = MISS) -> DataFrame:
     """The documents without those that a document of a smaller id of their class stands for."""
     docs, restored = sheltered(documents, ("doc_id", "text"))
-    gone = classes(docs, width, percent, miss).where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return restored(docs.join(gone, docs["doc_id"].eqNullSafe(gone["_gone"]), "left_anti"))
+    gone = classes(docs, width, percent, miss).where("not kept").select(F.col("row_key").alias("_gone")).distinct()
+    return restored(docs.join(gone, row_key() == gone["_gone"], "left_anti"))
 
 
 def op8_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return classes(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return classes(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("row_key")
 
 
 _WORDS8 = "list_filter(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '')"

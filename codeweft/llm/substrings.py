@@ -98,7 +98,9 @@ def _parts(keys: np.ndarray, partitions: int) -> tuple[np.ndarray, np.ndarray]:
 
 def _pieces(part: np.ndarray, order: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     sorted_part = part[order]
-    cut = np.flatnonzero(np.concatenate([[True], sorted_part[1:] != sorted_part[:-1]])) if len(part) else np.zeros(0, int)
+    if not len(part):
+        return
+    cut = np.flatnonzero(np.concatenate([[True], sorted_part[1:] != sorted_part[:-1]]))
     for a, b in zip(cut, np.append(cut[1:], len(part)), strict=True):
         yield int(sorted_part[a]), order[a:b]
 
