@@ -18,6 +18,8 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op3_substring_dedup": substrings.OP3_SQL,
+    "op10_url_filter": urls.OP10_SQL,
     "op2_decontamination": decontam.OP2_SQL,
     "op6_chat_format": chat.OP6_SQL,
     "op8_minhash_neardup": neardup.OP8_SQL,

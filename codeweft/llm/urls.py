@@ -149,3 +149,50 @@ def _blocked_aliases(links: DataFrame, rules: DataFrame, small: bool, ws: Worksp
 
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
+def _node_sql(url: str) -> str:
+    bare = f"split_part(trim({url}), '#', 1)"
+    head = f"regexp_extract({bare}, '(?s)^(.*?://[^/?]*)', 1)"
+    fold = f"translate({head}, '{UPPER}', '{LOWER}')"
+    return f"CASE WHEN {head} <> '' THEN {fold} || substr({bare}, length({head}) + 1) END"
+
+
+def _parts_sql(url: str) -> str:
+    pattern = "(?s)^.*?://([^/?#]*)([^?#]*)"
+    return (
+        f"coalesce(translate(regexp_extract({url}, '{pattern}', 1), '{UPPER}', '{LOWER}'), '') AS host, "
+        f"coalesce(regexp_extract({url}, '{pattern}', 2), '') AS path"
+    )
+
+
+_RULES_SQL = ", ".join(f"('{v}', '{r}', '{r.partition('/')[0]}', '/{r.partition('/')[2]}')" for v, r in RULES)
+_BEST_SQL = "(SELECT max_by({0}, length(rule)) FROM rules WHERE (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp))"
+
+OP10_SQL = f"""
+WITH RECURSIVE rules AS (SELECT * FROM (VALUES {_RULES_SQL}) v(verdict, rule, rh, rp)),
+tags AS (SELECT url, unnest(regexp_extract_all(html, '(?i)<(?:link|meta)\\b[^>]*>')) AS tag FROM pages),
+found AS (
+  SELECT url, replace(CASE WHEN regexp_matches(tag, '(?i)^<link') THEN regexp_extract(tag, '(?i)href\\s*=\\s*["'']?([^"''>\\s]+)', 1)
+                      ELSE regexp_extract(tag, '(?i)url\\s*=\\s*([^"''>\\s;]+)', 1) END, '&amp;', '&') AS t
+  FROM tags WHERE regexp_matches(tag, '(?i)rel\\s*=\\s*["'']?canonical\\b|http-equiv\\s*=\\s*["'']?refresh\\b')
+),
+named AS (
+  SELECT url, CASE WHEN starts_with(t, '//') THEN regexp_extract(url, '(?s)^(.*?)://', 1) || ':' || t
+                   WHEN starts_with(t, '/') THEN regexp_extract(url, '(?s)^(.*?://[^/?#]*)', 1) || t
+                   WHEN contains(t, '://') THEN t END AS t FROM found
+),
+links AS (SELECT {_node_sql('url')} AS a, {_node_sql('t')} AS b FROM named),
+pairs AS (SELECT a, b FROM links WHERE a <> b UNION SELECT b, a FROM links WHERE a <> b),
+nodes AS (SELECT DISTINCT a AS id, {_parts_sql('a')} FROM pairs),
+bad AS (
+  SELECT id FROM nodes WHERE {_BEST_SQL.format('verdict')} = 'block'
+  UNION SELECT pairs.b FROM bad JOIN pairs ON pairs.a = bad.id
+),
+parsed AS (SELECT page_id, {_node_sql('url')} AS id, {_parts_sql('url')} FROM pages),
+ruled AS (SELECT page_id, id, host, path, {_BEST_SQL.format('rule')} AS rule, {_BEST_SQL.format('verdict')} AS rv FROM parsed)
+SELECT page_id, host, path, rule,
+       coalesce(rv, CASE WHEN id IN (SELECT id FROM bad) THEN 'block' ELSE 'allow' END) AS verdict,
+       coalesce(id IN (SELECT id FROM bad), false) AS aliased
+FROM ruled
+"""

@@ -239,6 +239,10 @@ def test_urls(spark, nothing):
         host, path, rule, verdict = plain_verdict(url)
         want[(i, host, path, rule, verdict or alias.get(i, "allow"))] += 1
     assert got == want
+    con = pytest.importorskip("duckdb").connect()
+    con.sql("create table pages (page_id bigint, url varchar, html varchar)")
+    con.executemany("insert into pages values (?, ?, ?)", rows)
+    assert Counter(con.sql(urls.OP10_SQL).project("page_id, host, path, rule, verdict").fetchall()) == want
     more = spark.createDataFrame([("http://y.net/c", "http://y.net/b")], "a string, b string")
     told = {r.page_id: r.verdict for r in urls.filter_urls(pages, redirects=more).collect()}
     assert told[11] == "block" and told[10] == "allow"
