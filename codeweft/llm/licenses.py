@@ -51,27 +51,27 @@ TEMPLATES = {
 }
 
 
-def normal_words(text: Column) -> Column:
-    """Words of ASCII letters and digits and of other letters; ASCII case and all else is dropped."""
-    low = F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    bare = F.trim(F.regexp_replace(low, r"[^a-z0-9\x{80}-\x{10FFFF}]+", " "))
-    return F.filter(F.split(bare, " "), lambda w: w != "")
+#: Words of a text after which it is known to be larger than any template, or is compared.
+_HEAD = 1000
 
 
-def bigrams(text: Column) -> Column:
-    """The set of neighbouring word pairs of a text."""
+def words_by_line(text: Column) -> Column:
+    """For each line its words of ASCII letters and digits and of other letters; ASCII case and all else is dropped."""
+    low = F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    bare = F.regexp_replace(low, r"[^a-z0-9\n\x{80}-\x{10FFFF}]+", " ")
+    return F.transform(F.split(bare, "\n"), lambda line: F.filter(F.split(line, " "), lambda w: w != ""))
 
-    def of(words: Column) -> Column:
-        pairs = F.zip_with(words, F.slice(words, 2, F.size(words)), lambda a, b: F.concat(a, F.lit(" "), b))
-        return F.array_distinct(F.filter(pairs, lambda p: p.isNotNull()))
 
-    return let(normal_words(text), of)
+def bigrams(words: Column) -> Column:
+    """The set of neighbouring word pairs, hashed."""
+    pairs = F.zip_with(words, F.slice(words, 2, F.size(words)), lambda a, b: F.when(b.isNotNull(), F.xxhash64(a, b)))
+    return F.array_distinct(F.filter(pairs, lambda p: p.isNotNull()))
 
 
 def template_table(spark: SparkSession, templates: dict[str, str], threshold: float) -> DataFrame:
     """``(license, t_grams, t_size, size)``: each template once for every bigram count it can match."""
     rows = spark.createDataFrame(sorted(templates.items()), "license string, body string")
-    grams = rows.select("license", bigrams(F.col("body")).alias("t_grams")).where("size(t_grams) > 0")
+    grams = rows.select("license", let(F.flatten(words_by_line(F.col("body"))), bigrams).alias("t_grams")).where("size(t_grams) > 0")
     n = F.size("t_grams")
     low = F.ceil(n * threshold / (2 - threshold) - 1e-9).cast("int")
     high = F.floor(n * (2 - threshold) / threshold + 1e-9).cast("int")
@@ -88,12 +88,17 @@ def scan_licenses(
     """
     spark = documents.sparkSession
     table = template_table(spark, templates or TEMPLATES, threshold)
-    lines = F.split("text", "\n")
-    numbered = F.transform(lines, lambda s, i: F.struct(i.alias("line"), s.alias("s")))
-    whole = F.array(F.struct(F.lit(-1).alias("line"), F.col("text").alias("s")))
+    most = table.agg(F.coalesce(F.max("size"), F.lit(0))).first()[0]
+
+    def candidates(lines: Column) -> Column:
+        numbered = F.transform(lines, lambda w, i: F.struct(i.alias("line"), w.alias("w")))
+        # A text of d different words has d - 1 different pairs at least: most texts are settled by their first words.
+        whole = let(F.flatten(lines), lambda w: F.when(F.size(F.array_distinct(F.slice(w, 1, _HEAD))) <= most + 1, F.struct(F.lit(-1).alias("line"), w.alias("w"))))
+        return F.when(F.size(lines) > 1, F.concat(F.array(whole), numbered)).otherwise(numbered)
+
     rows = documents.select("doc_id", "text").where("text is not null")
-    parts = rows.select("doc_id", F.explode(F.when(F.size(lines) > 1, F.concat(whole, numbered)).otherwise(numbered)).alias("p"))
-    sets = parts.select("doc_id", "p.line", bigrams(F.col("p.s")).alias("grams")).withColumn("size", F.size("grams"))
+    parts = rows.select("doc_id", F.explode(let(words_by_line(F.col("text")), candidates)).alias("p")).where("p is not null")
+    sets = parts.select("doc_id", "p.line", let(F.col("p.w"), bigrams).alias("grams")).withColumn("size", F.size("grams"))
     shared = F.size(F.array_intersect("grams", "t_grams"))
     scored = (
         sets.join(F.broadcast(table), "size")
