@@ -18,7 +18,7 @@ from codeweft.sources.store import Store
 PROTOCOL = "2024-11-05"
 PARSE_ERROR, METHOD_NOT_FOUND, INVALID_PARAMS, INTERNAL_ERROR = -32700, -32601, -32602, -32603
 
-PREFIX = "codeweft_"
+PREFIX = "codeweft/"
 
 
 def wire(df: DataFrame) -> list[dict]:
@@ -70,7 +70,7 @@ class Engine:
         total = search.count_symbols(g.symbols, project_id=project_id, exclude_kind="module").first().n
         return {
             "nodes": rows,
-            "edges": [{"from": e.from_id, "to": e.to_id, "kind": e.kind} for e in edges],
+            "edges": [{"FromID": e.from_id, "ToID": e.to_id, "Kind": e.kind} for e in edges],
             "page": page, "page_size": size, "total_nodes": total, "total_edges": len(edges),
         }
 
@@ -116,7 +116,7 @@ def _walk_tool(name: str, depth: int) -> Callable[[Engine, dict], Any]:
     return lambda e, a: e.walk(name, _required(a, "symbolId"), _between(_number(a, "depth", depth), 1, 10, "depth"))
 
 
-_STRING, _INTEGER = {"type": "string"}, {"type": "integer"}
+_STRING, _INTEGER = {"type": "string"}, {"type": "number"}
 
 #: name: (description, properties, required, run)
 TOOLS: dict[str, tuple[str, dict, list[str], Callable[[Engine, dict], Any]]] = {

@@ -10,14 +10,12 @@ from dataclasses import asdict, dataclass, field
 
 CONFIG_NAME = "codeweft.json"
 
-# Fixed values.
+# Languages, directories that hold no sources of one's own, directories that detection doesn't enter.
 LANGUAGES = ("go", "typescript", "javascript", "python", "csharp", "rust", "zig", "vue", "auto")
-
-#: Directories that hold no sources of one's own.
 DEFAULT_EXCLUDES = (
-    "node_modules/", "vendor/", ".git/", "dist/", "build/", "out/", "target/", "bin/", "obj/", ".venv/", "venv/", "__pycache__/", "zig-cache/", "zig-out/",
+    "node_modules/", "vendor/", "dist/", "build/", ".git/", "__pycache__/", ".venv/", "venv/", "target/", "obj/", "bin/", ".next/", "out/", "coverage/",
 )
-_NOT_ENTERED = {"node_modules", "vendor", "dist", "build", "target", "bin", "obj", "venv", "__pycache__"}
+NOT_ENTERED = ("node_modules", "vendor", "dist", "build", "bin", "obj", "__pycache__", ".venv", "venv")
 
 
 class ConfigError(ValueError):
@@ -123,7 +121,7 @@ def detect(root: str) -> list[Project]:
     """Projects by their manifests, in walk order; hidden and dependency directories aren't entered."""
     root, out = os.path.abspath(root), []
     for at, dirs, files in os.walk(root):
-        dirs[:] = sorted(d for d in dirs if not d.startswith(".") and d not in _NOT_ENTERED)
+        dirs[:] = sorted(d for d in dirs if not d.startswith(".") and d not in NOT_ENTERED)
         here = os.path.basename(at)
         for f in sorted(files):
             name, language = here, None

@@ -16,7 +16,9 @@ def follow(spark: SparkSession, store: Store, workspace: Workspace, root: str, w
     A batch that is run again finds nothing changed, so a restart from the
     checkpoint neither loses nor repeats rows.
     """
-    arrivals = spark.readStream.format("binaryFile").option("recursiveFileLookup", "true").load(watched).select("path", "modificationTime")
+    schema = "path string, modificationTime timestamp, length long, content binary"
+    arrivals = spark.readStream.format("binaryFile").schema(schema).option("recursiveFileLookup", "true").load(watched)
+    arrivals = arrivals.select("path", "modificationTime")
 
     def update(batch, number: int) -> None:
         if not batch.isEmpty():

@@ -110,7 +110,7 @@ def test_build_update_and_services(spark, tree, tmp_path, built):
             return e.code, json.loads(e.read() or b"null")
 
     def call(tool, **args):
-        body = {"jsonrpc": "2.0", "id": 7, "method": "tools/call", "params": {"name": f"codeweft_{tool}", "arguments": args}}
+        body = {"jsonrpc": "2.0", "id": 7, "method": "tools/call", "params": {"name": f"codeweft/{tool}", "arguments": args}}
         return get("/mcp", json.dumps(body).encode())[1]
 
     said = lambda answer: json.loads(answer["result"]["content"][0]["text"])
@@ -139,3 +139,41 @@ def test_build_update_and_services(spark, tree, tmp_path, built):
     assert get("/api/search")[0] == 400 and get("/api/search?q=a%20NOT")[0] == 500 and get("/api/search?q=fresh")[0] == 200
     assert get("/api/projects")[0] == 200 and get("/x")[0] == 404
     server.shutdown()
+
+
+def test_command_line(spark, tree, capsys):
+    from codeweft import cli
+
+    at = ["--workspace", str(tree), "--output", "json"]
+    told = lambda *a: (cli.main([*at, *a]), json.loads(capsys.readouterr().out or "null"))
+    assert cli.main([*at, "build"]) == 1
+    capsys.readouterr()
+    assert told("install")[1]["projects"] == 2
+    assert cli.main([*at, "update"]) == 1
+    capsys.readouterr()
+    first = told("build")[1]
+    assert first["added"] == 4 and first["symbols"] == first["symbol_delta"]
+    (tree / "web/x.js").unlink()
+    changed = told("update")[1]
+    assert (changed["deleted"], changed["symbol_delta"]) == (1, -2)
+    assert told("prune")[1]["edges"] == changed["edges"]
+    assert told("clean")[1] == {"config_removed": True, "store_removed": True}
+
+
+def test_following_a_folder(spark, tree, tmp_path):
+    from codeweft.streaming.follow import follow
+
+    ws, store = config.Workspace("w", config.detect(str(tree))), Store(spark, str(tmp_path / "store"))
+    run = lambda: follow(spark, store, ws, str(tree), str(tree / "svc"), str(tmp_path / "checkpoint"), once=True).awaitTermination()
+    run()
+    assert store.version() == 1 and store.table("files").count() == 4
+    (tree / "svc/c.go").write_text("package a\nfunc Late() {}\n")
+    run()
+    run()
+    assert store.version() == 2 and api.Engine(store).search(name="Late")
+
+
+def test_extraction_rows(spark):
+    files = spark.createDataFrame([("a.go", "p", bytearray(b"package a\nfunc A() {}")), ("b.bin", "p", bytearray(b"\xff"))], "path string, project_id string, content binary")
+    rows = build.extract_files(files).collect()
+    assert [(r.rec, r.name, r.project_id) for r in rows] == [("symbol", "A", "p")]
