@@ -19,15 +19,13 @@ def components(edges: DataFrame, ws: Workspace) -> DataFrame:
     Self-loops, repeated and null edges have no effect; ids without a link to
     another id aren't returned. Ids compare by their column type's order.
     """
-    e = ws.put(
-        edges.where("a is not null and b is not null and a <> b")
-        .select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-        .distinct()
-    )
+    linked = edges.where("a is not null and b is not null and a <> b")
+    e, last = linked.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), None
     while True:
-        small = ws.put(_small_star(_large_star(e)))
-        ws.drop(e)
-        e = small
+        e = ws.put(_small_star(_large_star(e)))
+        if last is not None:
+            ws.drop(last)
+        last = e
         ends = e.select(F.col("u").alias("x"), F.lit(1).alias("up")).union(e.select("v", F.lit(0)))
         seen = ends.groupBy("x").agg(F.sum("up").alias("ups"), F.min("up").alias("low"))
         if seen.where("ups > 1 or (ups = 1 and low = 0)").isEmpty():  # only stars are left

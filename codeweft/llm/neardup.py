@@ -6,13 +6,13 @@ the signature at a time and dropped once the posterior chance that its similarit
 reaches the threshold falls below the chosen miss probability; survivors are
 verified exactly on full shingle sets. Links make components.
 
-Within a bucket of any size pairs are not spelled out. Each round tests members
-against one pivot of their bucket and merges what links; only buckets that hold
-several components go on, with other pivots. Then members that can't link any more
-are settled by an exact bound: what a set may share with a set of another component
-is at most the number of its shingles that occur in another component at all. What
-is left is compared in full, in pairs of blocks of bounded size whose members'
-pairs never become rows, so that no candidate is lost whatever the sizes.
+Within a bucket of any size pairs are not spelled out. Members are tested against
+two pivots of their bucket, and what links is merged. Members of buckets that still
+hold several components and that can't link any more are settled by an exact bound:
+what a set may share with a set of another component is at most the number of its
+shingles that occur in another component at all. What is left is compared in full,
+in pairs of blocks of bounded size whose members' pairs never become rows, so that
+no candidate is lost whatever the sizes.
 
 Defined cases: a text without words, or null, has no shingles and links with
 nothing; fewer words than a shingle are one shingle, the whole sequence; rows that
@@ -42,8 +42,6 @@ HASHES = BANDS * ROWS
 BATCH = 16
 #: Posterior chance of a true link below which a comparison stops.
 MISS = 1e-7
-#: Rounds of pivots before the rest is compared in full.
-PIVOT_ROUNDS = 2
 #: Shingles of a block of sets, about: 4 MB.
 BLOCK_SHINGLES = 500_000
 #: Bits of the filter that finds the texts whose sets are verified: 4 MB, whatever the input.
@@ -56,7 +54,7 @@ _ADD = (_RNG[HASHES:] >> wd.U(32)).astype(np.uint32)
 
 def shingle_sets(column: pa.Array, width: int) -> Iterator[np.ndarray | None]:
     """The sorted distinct shingle hashes of every row; None without words."""
-    for lo, hi in wd.slices(column, 1 << 20):
+    for lo, hi in wd.slices(column):
         data, offsets = wd.utf8(column.slice(lo, hi - lo))
         data = wd.LOWER[data]
         starts, ends = wd.spans(data, offsets)
@@ -182,39 +180,19 @@ def _sets(documents: DataFrame, reps: DataFrame, rids: DataFrame, ws: Workspace,
     return ws.put(found.select("rid", "grams", F.size("grams").alias("n")))
 
 
-class _Links:
-    """Verified links between sets; tests each pair once."""
-
-    def __init__(self, reps: DataFrame, sets: DataFrame, ws: Workspace, percent: int, miss: float):
-        self.reps, self.sets, self.ws, self.percent, self.miss = reps, sets, ws, percent, miss
-        self.tested: DataFrame | None = None
-        self.edges: DataFrame | None = None
-
-    def test(self, pairs: DataFrame) -> bool:
-        """Verify ``pairs(a, b)`` not tested before; whether there were any."""
-        ws = self.ws
-        fresh = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        if self.tested is not None:
-            fresh = fresh.join(self.tested, ["a", "b"], "left_anti")
-        fresh = ws.put(fresh)
-        if fresh.isEmpty():
-            return False
-        self.tested = fresh if self.tested is None else self.tested.union(fresh)
-        side = lambda x: self.reps.select(F.col("rid").alias(x), F.col("sig").alias(f"s{x}"), F.col("n_shingles").alias(f"n{x}"))
-        near = fresh.join(side("a"), "a").join(side("b"), "b")
-        near = near.where(f"100 * least(na, nb) >= {self.percent} * greatest(na, nb)").select("a", "b", "sa", "sb")
-        near = ws.put(near.mapInArrow(_survivors(self.percent / 100, self.miss), "a long, b long"))
-        found = ws.put(self._exact(near))
-        self.edges = found if self.edges is None else self.edges.union(found)
-        return True
-
-    def _exact(self, pairs: DataFrame) -> DataFrame:
-        """The pairs whose full sets reach the threshold. A pivot's set is shuffled once, its partners' once a pair."""
-        own = lambda x: self.sets.select(F.col("rid").alias(x), F.col("grams").alias(f"g{x}"))
-        both = pairs.join(own("b"), "b").join(own("a"), "a")
-        shared = F.size(F.array_intersect("ga", "gb"))
-        counted = both.select("a", "b", shared.alias("s"), F.size("ga").alias("x"), F.size("gb").alias("y"))
-        return counted.where(f"100 * s >= {self.percent} * (x + y - s)").select("a", "b")
+def _verified(pairs: DataFrame, reps: DataFrame, sets: DataFrame, ws: Workspace, percent: int, miss: float) -> DataFrame:
+    """The links among ``pairs(a, b)``: by sizes, then by signatures a batch at a time, then on full sets."""
+    fresh = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    signed = lambda x: reps.select(F.col("rid").alias(x), F.col("sig").alias(f"s{x}"), F.col("n_shingles").alias(f"n{x}"))
+    near = fresh.join(signed("a"), "a").join(signed("b"), "b")
+    near = near.where(f"100 * least(na, nb) >= {percent} * greatest(na, nb)").select("a", "b", "sa", "sb")
+    near = near.mapInArrow(_survivors(percent / 100, miss), "a long, b long")
+    # A pivot's set is shuffled once, its partners' once a pair.
+    full = lambda x: sets.select(F.col("rid").alias(x), F.col("grams").alias(f"g{x}"))
+    both = near.join(full("b"), "b").join(full("a"), "a")
+    shared = F.size(F.array_intersect("ga", "gb"))
+    counted = both.select("a", "b", shared.alias("s"), F.size("ga").alias("x"), F.size("gb").alias("y"))
+    return ws.put(counted.where(f"100 * s >= {percent} * (x + y - s)").select("a", "b"))
 
 
 def _mixed(members: DataFrame, ws: Workspace) -> DataFrame:
@@ -223,15 +201,6 @@ def _mixed(members: DataFrame, ws: Workspace) -> DataFrame:
     return ws.put(members.join(mixed.select("bucket"), "bucket", "left_semi"))
 
 
-def _labelled(members: DataFrame, links: _Links, ws: Workspace) -> tuple[DataFrame, DataFrame | None]:
-    """Bucket members with their component, in buckets that still hold several; and all labels."""
-    if links.edges is None or links.edges.isEmpty():
-        return members, None
-    labels = ws.put(components(links.edges, ws))
-    named = members.drop("label").join(labels, F.col("rid") == F.col("id"), "left")
-    return _mixed(named.select("bucket", "rid", F.coalesce("component", "rid").alias("label")), ws), labels
-
-
 def _possible(left: DataFrame, sets: DataFrame, ws: Workspace, percent: int) -> DataFrame:
     """Members that may still link with a member of their bucket in another component.
 
@@ -303,21 +272,21 @@ def link_sets(documents: DataFrame, reps: DataFrame, ws: Workspace, width: int,
     if left.isEmpty():
         return None
     sets = _sets(documents, reps, left.select("rid").distinct(), ws, width)
-    links, labels = _Links(reps, sets, ws, percent, miss), None
-    for turn in range(PIVOT_ROUNDS):
-        # The first pivots are the same in all bands of a group, later ones differ.
-        rank = F.struct("rid", "label") if not turn else F.struct(F.xxhash64("rid", "bucket", F.lit(turn)).alias("h"), "rid", "label")
-        pivot = left.groupBy("bucket").agg(F.min(rank).alias("p")).select("bucket", F.col("p.rid").alias("pivot"), F.col("p.label").alias("own"))
-        found = left.join(pivot, "bucket").where("label <> own").select(F.col("pivot").alias("a"), F.col("rid").alias("b"))
-        links.test(found)
-        left, labels = _labelled(left, links, ws)
+    # The smallest member is a pivot of all bands of a group, the other one differs from band to band.
+    other = F.min(F.struct(F.xxhash64("rid", "bucket").alias("h"), "rid"))["rid"]
+    pivots = left.groupBy("bucket").agg(F.array(F.min("rid"), other).alias("p")).select("bucket", F.explode(F.array_distinct("p")).alias("pivot"))
+    pairs = left.join(pivots, "bucket").where("rid <> pivot").select(F.col("pivot").alias("a"), F.col("rid").alias("b"))
+    edges = _verified(pairs, reps, sets, ws, percent, miss)
+    labels = None
+    if not edges.isEmpty():
+        labels = ws.put(components(edges, ws))
+        named = left.drop("label").join(labels, F.col("rid") == F.col("id"), "left")
+        left = _mixed(named.select("bucket", "rid", F.coalesce("component", "rid").alias("label")), ws)
     left = _possible(left, sets, ws, percent)
     if left.isEmpty():
         return labels
     found = ws.put(_rest(left, sets, ws, percent))
-    if found.isEmpty():
-        return labels
-    return components(found if links.edges is None else links.edges.union(found), ws)
+    return labels if found.isEmpty() else components(edges.union(found), ws)
 
 
 def row_key() -> Column:

@@ -142,7 +142,7 @@ _MENTION_SQL = "array<struct<kind:int,start:long,end:long,instance:long,wide:int
 def _seen(column: pa.Array) -> tuple[list, list]:
     """Base spans and mentions (base spans and unknown words with their contexts) of every row."""
     found, mentions = [], []
-    for lo, hi in wd.slices(column, 1 << 20):
+    for lo, hi in wd.slices(column):
         part = column.slice(lo, hi - lo)
         data, offsets = wd.utf8(part)
         low = wd.LOWER[data]

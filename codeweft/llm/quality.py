@@ -55,7 +55,7 @@ SYMBOL[list(b"#*$%&|<>")] = True
 
 def rule_columns(column: pa.Array) -> list[np.ndarray]:
     """``n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words`` of every row."""
-    parts = [_rules(column.slice(lo, hi - lo)) for lo, hi in wd.slices(column, 1 << 20)]
+    parts = [_rules(column.slice(lo, hi - lo)) for lo, hi in wd.slices(column)]
     return [np.concatenate(c) for c in zip(*parts, strict=True)] if parts else [np.zeros(0, np.int64)] * 5
 
 
@@ -146,13 +146,13 @@ def _count(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(codes[i : i + 100_000]), pa.array(counts[i : i + 100_000])], ["code", "c"])
 
     for b in rows:
-        for lo, hi in wd.slices(b.column(0), 1 << 20):
+        for lo, hi in wd.slices(b.column(0)):
             held.append(_summed(_codes(b.column(0).slice(lo, hi - lo), b.column(1).slice(lo, hi - lo).to_pylist())[0]))
             size += len(held[-1][0])
-            if size > 1_000_000:
+            if size > 400_000:
                 held = [merged()]
                 size = len(held[0][0])
-                if size > 500_000:  # keep a task's memory bounded; Spark adds the parts up
+                if size > 250_000:  # keep a task's memory bounded; Spark adds the parts up
                     yield from out(*held[0])
                     held, size = [], 0
     if held:
@@ -311,7 +311,7 @@ def _score_held(documents: DataFrame, model, keep: list[str]) -> DataFrame:
     def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in rows:
             text, lang, sums, sizes = b.column("text"), b.column("lang"), [], []
-            for lo, hi in wd.slices(text, 1 << 20):
+            for lo, hi in wd.slices(text):
                 codes, n = _codes(text.slice(lo, hi - lo), lang.slice(lo, hi - lo).to_pylist())
                 total = np.concatenate([[0.0], np.cumsum(model.value.logp(codes))])
                 ends = np.cumsum(n)

@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 
 U = np.uint64
-BLOCK = 1 << 19
+BLOCK = 1 << 18
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 LOWER = np.arange(256, dtype=np.uint8)
@@ -127,7 +127,7 @@ def windows(first: np.ndarray, n: int) -> np.ndarray:
     return base + np.arange(total)
 
 
-def slices(column: pa.Array, most: int = 2 << 20):
+def slices(column: pa.Array, most: int = 1 << 18):
     """Row ranges of about ``most`` bytes of text each, so that scratch arrays stay small."""
     _, offsets = utf8(column)
     i, n = 0, len(column)
