@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from codeweft.llm import words as wd
 from codeweft.llm.components import components
-from codeweft.llm.tables import Workspace, sheltered
+from codeweft.sources.scratch import Workspace, sheltered
 
 BANDS, ROWS = 32, 4
 HASHES = BANDS * ROWS

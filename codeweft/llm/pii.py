@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codeweft.llm import words as wd
-from codeweft.llm.tables import Workspace, sheltered
+from codeweft.sources.scratch import Workspace, sheltered
 
 KINDS = ("email", "ip", "card", "phone")
 ROUNDS = 3

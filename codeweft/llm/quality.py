@@ -25,12 +25,13 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from codeweft.llm import words as wd
-from codeweft.llm.tables import Workspace, sheltered
+from codeweft.sources.scratch import Workspace, sheltered
 
 ORDER = 5
 MIN_WORDS = 10
@@ -43,6 +44,8 @@ BAND = 8.0
 LEAST_BAND = 0.8
 #: Entries of the model, of 12 bytes each, up to which executors hold it: 36 MB.
 BROADCAST_ENTRIES = 3_000_000
+#: Bytes of text whose n-grams are looked up together beyond that.
+CHUNK_BYTES = 8 << 20
 _BIN = 1000
 _LANG_SHIFT = 40
 
@@ -307,56 +310,76 @@ def _scored_batch(b: pa.RecordBatch, keep: list[str], ppl: pa.Array) -> pa.Recor
     return pa.RecordBatch.from_arrays(cols, [*keep, *_STATS, "base_failed", "log_ppl"])
 
 
+def _mean_logs(b: pa.RecordBatch, logp) -> pa.Array:
+    """The mean negative log-probability of each row's n-grams; null for rows without one."""
+    text, lang, sums, sizes = b.column("text"), b.column("lang"), [], []
+    for lo, hi in wd.slices(text):
+        codes, n = _codes(text.slice(lo, hi - lo), lang.slice(lo, hi - lo).to_pylist())
+        total = np.concatenate([[0.0], np.cumsum(logp(codes), dtype=np.float64)])
+        ends = np.cumsum(n)
+        sums.append(total[ends] - total[ends - n])
+        sizes.append(n)
+    n = np.concatenate(sizes) if sizes else np.zeros(0, int)
+    s = np.concatenate(sums) if sums else np.zeros(0)
+    return pa.array(-s / np.maximum(n, 1), mask=n == 0)
+
+
 def _score_held(documents: DataFrame, model, keep: list[str]) -> DataFrame:
     def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in rows:
-            text, lang, sums, sizes = b.column("text"), b.column("lang"), [], []
-            for lo, hi in wd.slices(text):
-                codes, n = _codes(text.slice(lo, hi - lo), lang.slice(lo, hi - lo).to_pylist())
-                total = np.concatenate([[0.0], np.cumsum(model.value.logp(codes))])
-                ends = np.cumsum(n)
-                sums.append(total[ends] - total[ends - n])
-                sizes.append(n)
-            n = np.concatenate(sizes) if sizes else np.zeros(0, int)
-            s = np.concatenate(sums) if sums else np.zeros(0)
-            yield _scored_batch(b, keep, pa.array(-s / np.maximum(n, 1), mask=n == 0))
+            yield _scored_batch(b, keep, _mean_logs(b, model.value.logp))
 
     need = list(dict.fromkeys([*keep, "text", "lang"]))
     return documents.select(*[f"`{c}`" for c in need]).mapInArrow(batches, f"{_fields(documents, keep)}, {_STATS_SQL}")
 
 
 def _score_joined(documents: DataFrame, model: dict[str, DataFrame], keep: list[str], ws: Workspace) -> DataFrame:
-    """As _score_held, for a model of any size: rows' n-gram counts meet the model by joins."""
+    """As _score_held, for a model of any size: chunks of rows look their different n-grams up by joins."""
     need = list(dict.fromkeys([*keep, "text", "lang"]))
-    rows = ws.put(documents.select(*need).withColumn("_rid", F.monotonically_increasing_id()))
 
-    def grams(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def chunked(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, before = TaskContext.get().partitionId() << 33, 0
         for b in it:
-            for i in range(b.num_rows):
-                code, n = _summed(_codes(b.column(1).slice(i, 1), b.column(2).slice(i, 1).to_pylist())[0])
-                rid = pa.array(np.full(len(code), b.column(0)[i].as_py(), np.int64))
-                yield pa.RecordBatch.from_arrays([rid, pa.array(code), pa.array(n.astype(np.int64))], ["_rid", "code", "n"])
+            _, offsets = wd.utf8(b.column("text"))
+            chunk = part + (before + offsets[:-1]) // CHUNK_BYTES
+            before += int(offsets[-1])
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in need), pa.array(chunk)], [*need, "_chunk"])
 
-    left = rows.select("_rid", "text", "lang").mapInArrow(grams, "_rid long, code long, n long")
-    left = left.withColumn("full", F.col("code")).withColumn("logp", F.lit(0.0))
+    def different(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            chunk = b.column(0).to_numpy()
+            cut = np.flatnonzero(np.concatenate([[True], chunk[1:] != chunk[:-1]])) if len(chunk) else np.zeros(0, int)
+            for lo, hi in zip(cut, np.append(cut[1:], len(chunk)), strict=True) if len(cut) else ():
+                part = b.slice(int(lo), int(hi - lo))
+                found = [_summed(_codes(part.column(1).slice(i, j - i), part.column(2).slice(i, j - i).to_pylist())[0])[0] for i, j in wd.slices(part.column(1))]
+                code = np.unique(np.concatenate(found))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(code), chunk[lo])), pa.array(code)], ["_chunk", "full"])
+
+    rows = ws.put(documents.select(*need).mapInArrow(chunked, f"{_fields(documents, need)}, _chunk long"))
+    left = rows.select("_chunk", "text", "lang").mapInArrow(different, "_chunk long, full long").distinct()
+    left = left.select("_chunk", "full", F.col("full").alias("code"), F.lit(0.0).alias("logp"))
     done = None
     for k in range(ORDER, 0, -1):
         p = model["grams"].where(F.col("ord") == k).select("code", F.col("logp").alias("found"))
         w = model["contexts"].where(F.col("ord") == k).select(F.col("code").alias("ctx"), "logw")
-        at = left.join(p, "code", "left")
-        hit = at.where("found is not null").select("_rid", "n", (F.col("logp") + F.col("found")).alias("logp"))
+        at = ws.put(left.join(p, "code", "left"))
+        hit = at.where("found is not null").select("_chunk", "full", (F.col("logp") + F.col("found")).alias("logp"))
         done = hit if done is None else done.union(hit)
         miss = at.where("found is null").withColumn("ctx", _context(k)).join(w, "ctx", "left")
         code = F.col("full").bitwiseAND(F.lit(_lang_bits() | _low(k - 1)))
-        left = miss.select("_rid", code.alias("code"), "n", "full", (F.col("logp") + F.coalesce("logw", F.lit(0.0))).alias("logp"))
-    done = done.union(left.select("_rid", "n", F.col("logp") - float(np.log(256))))
-    ppl = done.groupBy("_rid").agg((-F.sum(F.col("logp") * F.col("n")) / F.sum("n")).alias("_ppl"))
-
-    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in it:
-            yield _scored_batch(b, keep, b.column("_ppl"))
-
-    return rows.join(ppl, "_rid", "left").drop("_rid").mapInArrow(batches, f"{_fields(documents, keep)}, {_STATS_SQL}")
+        left = miss.select("_chunk", "full", code.alias("code"), (F.col("logp") + F.coalesce("logw", F.lit(0.0))).alias("logp"))
+    done = done.union(left.select("_chunk", "full", F.col("logp") - float(np.log(256))))
+
+    def finish(key, t, known):
+        out = []
+        if t.num_rows:
+            codes, logp = (known.column(c).to_numpy() for c in ("full", "logp"))
+            at = HashArray(codes.astype(np.int64), logp.astype(np.float32))
+            for b in t.combine_chunks().to_batches():
+                out.append(_scored_batch(b, keep, _mean_logs(b, at.get)))
+        return pa.Table.from_batches(out, out[0].schema) if out else t.select(keep)
+
+    return rows.groupBy("_chunk").cogroup(done.groupBy("_chunk")).applyInArrow(finish, f"{_fields(documents, keep)}, {_STATS_SQL}")
 
 
 def bands(scored: DataFrame) -> DataFrame:

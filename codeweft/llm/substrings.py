@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codeweft.llm import words as wd
-from codeweft.llm.tables import sheltered, workers_import_package
+from codeweft.sources.scratch import sheltered, workers_import_package
 
 WINDOW = 20
 #: Words of the runs whose least hash is a window's anchor.

@@ -23,7 +23,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from codeweft.llm.tables import workers_import_package
+from codeweft.sources.scratch import workers_import_package
 
 MARK = "▁"
 #: Chunk counts that a worker keeps; beyond that it starts over.

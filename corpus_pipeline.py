@@ -1,11 +1,16 @@
-"""The corpus pipeline: stages that each apply one operator to all that the one before kept."""
+"""The corpus pipeline: stages that each apply one operator to all that the one before kept.
+
+Nulls, empty and long texts, ties and repeated rows, empty tables and extra columns
+have the results that each stage's operator defines; rows with a null id are judged
+by their text like others.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
 from codeweft.llm import decontam, neardup, packing, pii, quality
-from codeweft.llm.tables import Workspace
+from codeweft.sources.scratch import Workspace
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -211,7 +211,7 @@ def plain_model(texts, order):
 def test_perplexity_and_both_ways_of_scoring(spark, docs, rows, monkeypatch):
     import math
 
-    from codeweft.llm.tables import Workspace
+    from codeweft.sources.scratch import Workspace
 
     fold = lambda t: re.sub(rb"[0-9]", b"0", t.encode().translate(bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))))
     texts = [fold(t) for _, t in rows if t]
@@ -227,6 +227,7 @@ def test_perplexity_and_both_ways_of_scoring(spark, docs, rows, monkeypatch):
     model = quality.fit(docs.where("doc_id < 15"), ws)
     held = sorted((r.doc_id or -1, round(r.log_ppl or 0, 4)) for r in quality.score(docs, model, ["doc_id"], ws).collect())
     monkeypatch.setattr(quality, "BROADCAST_ENTRIES", 0)
+    monkeypatch.setattr(quality, "CHUNK_BYTES", 1000)
     joined = sorted((r.doc_id or -1, round(r.log_ppl or 0, 4)) for r in quality.score(docs, model, ["doc_id"], ws).collect())
     assert held == joined
 
