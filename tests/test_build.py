@@ -177,3 +177,15 @@ def test_extraction_rows(spark):
     files = spark.createDataFrame([("a.go", "p", bytearray(b"package a\nfunc A() {}")), ("b.bin", "p", bytearray(b"\xff"))], "path string, project_id string, content binary")
     rows = build.extract_files(files).collect()
     assert [(r.rec, r.name, r.project_id) for r in rows] == [("symbol", "A", "p")]
+
+
+def test_filters_and_columns_reach_the_scan(built):
+    _, store, _ = built
+    g = store.graph()
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    step = plan(g.edges.where("kind = 'calls'").where(g.edges["from_id"].isin(["a", "b"])).select("to_id"))
+    assert "EqualTo(kind,calls)" in step and "In(from_id, [a,b])" in step and "file:string" not in step.split("ReadSchema")[1]
+    from codeweft.operators import search
+
+    page = plan(search.search(g.symbols, 5, kind="function"))
+    assert "EqualTo(kind,function)" in page and "TakeOrderedAndProject" in page
