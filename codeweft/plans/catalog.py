@@ -30,14 +30,14 @@ def _add(name: str, run: Callable[[SparkSession, str], DataFrame], sql: str, rec
 # ---- filters, pages, lookups
 
 _PAGES = {
-    "search_name_like": (dict(name="D_W"), ""),
-    "search_name_wildcard": (dict(name="CUSTOMER%9"), ""),
-    "search_kind": (dict(kind="interface"), ""),
-    "search_exclude_kind": (dict(exclude_kind="class", limit=150), ""),
-    "search_project": (dict(project_id="ASIA"), ""),
-    "search_file": (dict(file="customers/BUILDING", limit=7), ""),
-    "search_all_filters": (dict(name="0", kind="class", exclude_kind="module", project_id="EUROPE", file="customers/MACHINERY", limit=9, offset=2), ""),
-    "search_page2": (dict(exclude_kind="module", limit=50, offset=50), ""),
+    "search_name_like": dict(name="D_W"),
+    "search_name_wildcard": dict(name="CUSTOMER%9"),
+    "search_kind": dict(kind="interface"),
+    "search_exclude_kind": dict(exclude_kind="class", limit=150),
+    "search_project": dict(project_id="ASIA"),
+    "search_file": dict(file="customers/BUILDING", limit=7),
+    "search_all_filters": dict(name="0", kind="class", exclude_kind="module", project_id="EUROPE", file="customers/MACHINERY", limit=9, offset=2),
+    "search_page2": dict(exclude_kind="module", limit=50, offset=50),
 }
 
 
@@ -52,7 +52,7 @@ def _page_sql(name="", kind="", exclude_kind="", project_id="", file="", limit=0
     return f"SELECT {_SYMBOL} FROM symbols {where}ORDER BY name, id LIMIT {limit or 100} OFFSET {offset}"
 
 
-for _name, (_args, _) in _PAGES.items():
+for _name, _args in _PAGES.items():
     _add(_name, lambda s, d, a=_args: search.search(t.symbols(s, d), **a), _page_sql(**_args))
 
 _add(
