@@ -189,8 +189,21 @@ def _scan(keep: list[str], rows: Iterator[pa.RecordBatch]) -> Iterator[pa.Record
 
 
 def _filled(bits: np.ndarray, rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Occurrences, by any single word, of the contexts that the filter lets through."""
+    """Occurrences, by any single word, of the contexts that the filter lets through; added up by the task."""
     shift = wd.U(64 - FILTER_BITS)
+    names, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    held, size = [], 0
+
+    def added(names: np.ndarray, counts: np.ndarray, held: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        fresh, n = np.unique(np.concatenate(held), return_counts=True)
+        every, where = np.unique(np.concatenate([names, fresh]), return_inverse=True)
+        total = np.zeros(len(every), np.int64)
+        np.add.at(total, where, np.concatenate([counts, n]))
+        return every, total
+
+    def batch() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(names), pa.array(counts)], ["p", "n"])
+
     for b in rows:
         for lo, hi in wd.slices(b.column(0)):
             data, offsets = wd.utf8(b.column(0).slice(lo, hi - lo))
@@ -200,9 +213,18 @@ def _filled(bits: np.ndarray, rows: Iterator[pa.RecordBatch]) -> Iterator[pa.Rec
             every = np.arange(len(starts))
             ctx = _contexts(h, row, every, every).ravel()
             at = ctx.view(wd.U) >> shift
-            ctx = ctx[(bits[at >> wd.U(3)] >> (at & wd.U(7)).astype(np.uint8)) & 1 == 1]
-            names, counts = np.unique(ctx, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(counts.astype(np.int64))], ["p", "n"])
+            held.append(ctx[(bits[at >> wd.U(3)] >> (at & wd.U(7)).astype(np.uint8)) & 1 == 1])
+            size += len(held[-1])
+            if size > 200_000:
+                names, counts = added(names, counts, held)
+                held, size = [], 0
+                if len(names) > 500_000:  # keep a task's memory bounded; Spark adds the parts up
+                    yield batch()
+                    names, counts = names[:0], counts[:0]
+    if held:
+        names, counts = added(names, counts, held)
+    if len(names):
+        yield batch()
 
 
 def _filter_bits(patterns: DataFrame) -> np.ndarray:
