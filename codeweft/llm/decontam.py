@@ -97,15 +97,12 @@ def find_leaks(
         hit = documents.select("doc_id", both.alias("b")).where("size(b.hits) > 0")
         candidates = hit.select("doc_id", "b.grams", F.explode("b.hits").alias("g")).join(F.broadcast(index), "g")
     else:
-        docs = documents.select("doc_id", grams.alias("grams"))
-        pairs = (
-            docs.select("doc_id", F.explode(F.array_distinct("grams")).alias("g"))
-            .join(index.select("item_id", "g"), "g")
-            .select("doc_id", "item_id")
-            .distinct()
-        )
-        sets = index.select("item_id", "item_grams").distinct()
-        candidates = pairs.join(docs, "doc_id").join(sets, "item_id")
+        # Rows meet again by hashes of all they hold, as ids may be null or shared; whatever meets is verified.
+        docs = documents.select("doc_id", F.xxhash64("doc_id", "text").alias("row"), grams.alias("grams"))
+        entries = index.select(F.xxhash64("item_id", "item_grams").alias("item"), "item_id", "item_grams", "g")
+        pairs = docs.select("row", F.explode(F.array_distinct("grams")).alias("g")).join(entries.select("item", "g"), "g").select("row", "item").distinct()
+        sets = entries.select("item", "item_id", "item_grams").distinct()
+        candidates = pairs.join(docs, "row").join(sets, "item")
     size, shared = F.size("item_grams"), F.size(F.array_intersect("item_grams", "grams"))
     verified = candidates.select("doc_id", "item_id", size.alias("n"), shared.alias("s")).where(F.col("s") >= threshold * F.col("n") - 1e-9)
     best = verified.groupBy("doc_id", "item_id").agg(F.max(F.struct((F.col("s") / F.col("n")).alias("c"), "n", "s")).alias("b"))

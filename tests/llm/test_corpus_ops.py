@@ -197,6 +197,19 @@ def test_leaks_both_ways(spark, docs, rows, nothing, monkeypatch):
     assert kept == Counter(i for i, _ in rows if i not in leaked)
 
 
+def test_leaks_of_null_ids_beyond_the_broadcast_bound(spark, monkeypatch):
+    rnd = random.Random(16)
+    a, b, clean = words(rnd, 30), words(rnd, 30), words(rnd, 40)
+    docs = make(spark, [(None, "x y " + a), (None, clean), (None, b), (1, a + " z"), (2, b), (2, clean), (3, None), (None, None)])
+    items = [(None, a), (None, words(rnd, 20)), (7, b), (7, words(rnd, 20))]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    for name, bound in (("BROADCAST_ENTRIES", 200_000), ("BROADCAST_ENTRIES", 0), ("BROADCAST_SHINGLES", 0)):
+        monkeypatch.setattr(decontam, name, bound)
+        got = Counter((r.doc_id, r.item_id, r.n_item_shingles, r.n_shared) for r in decontam.find_leaks(docs, bench).collect())
+        assert got == Counter([(None, None, 26, 26), (1, None, 26, 26), (None, 7, 26, 26), (2, 7, 26, 26)])
+        monkeypatch.undo()
+
+
 # ---- licences
 
 
