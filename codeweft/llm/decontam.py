@@ -78,14 +78,13 @@ def sketches(items: DataFrame, width: int, threshold: float, miss: float) -> Dat
     return sets.select("item_id", "item_grams", entry).select("item_id", "item_grams", F.col("e.g").alias("g"))
 
 
-def find_leaks(
-    documents: DataFrame,
-    items: DataFrame,
-    width: int = WIDTH,
-    threshold: float = THRESHOLD,
-    miss: float = MISS,
-) -> DataFrame:
-    """``doc_id, item_id, n_item_shingles, n_shared, containment`` of each item found in a document."""
+def _text_key(documents: DataFrame) -> Column:
+    """Tells rows with a null id apart by their text; null where there is an id."""
+    return F.when(documents["doc_id"].isNull(), F.sha2(documents["text"], 256))
+
+
+def _matches(documents: DataFrame, items: DataFrame, width: int = WIDTH, threshold: float = THRESHOLD, miss: float = MISS) -> DataFrame:
+    """``doc_id, text_key, item_id, n, s`` of each row and item that match: the item's shingles and those shared."""
     ws = Workspace(documents.sparkSession, "leaks")
     index = ws.put(sketches(items, width, threshold, miss))
     grams = shingles(F.col("text"), width)
@@ -94,17 +93,30 @@ def find_leaks(
         # Each row is tested where it is read; only rows with a hit go on, with their shingles.
         entries = [r.g for r in index.select("g").distinct().collect()]
         both = let(grams, lambda g: F.struct(g.alias("grams"), F.array_distinct(F.filter(g, lambda x: x.isin(entries))).alias("hits")))
-        hit = documents.select("doc_id", both.alias("b")).where("size(b.hits) > 0")
-        candidates = hit.select("doc_id", "b.grams", F.explode("b.hits").alias("g")).join(F.broadcast(index), "g")
+        hit = documents.select("doc_id", _text_key(documents).alias("text_key"), both.alias("b")).where("size(b.hits) > 0")
+        candidates = hit.select("doc_id", "text_key", "b.grams", F.explode("b.hits").alias("g")).join(F.broadcast(index), "g")
     else:
         # Rows meet again by hashes of all they hold, as ids may be null or shared; whatever meets is verified.
-        docs = documents.select("doc_id", F.xxhash64("doc_id", "text").alias("row"), grams.alias("grams"))
+        row = F.xxhash64("doc_id", "text").alias("row")
+        docs = documents.select("doc_id", _text_key(documents).alias("text_key"), row, grams.alias("grams"))
         entries = index.select(F.xxhash64("item_id", "item_grams").alias("item"), "item_id", "item_grams", "g")
         pairs = docs.select("row", F.explode(F.array_distinct("grams")).alias("g")).join(entries.select("item", "g"), "g").select("row", "item").distinct()
         sets = entries.select("item", "item_id", "item_grams").distinct()
         candidates = pairs.join(docs, "row").join(sets, "item")
     size, shared = F.size("item_grams"), F.size(F.array_intersect("item_grams", "grams"))
-    verified = candidates.select("doc_id", "item_id", size.alias("n"), shared.alias("s")).where(F.col("s") >= threshold * F.col("n") - 1e-9)
+    counted = candidates.select("doc_id", "text_key", "item_id", size.alias("n"), shared.alias("s"))
+    return counted.where(F.col("s") >= threshold * F.col("n") - 1e-9)
+
+
+def find_leaks(
+    documents: DataFrame,
+    items: DataFrame,
+    width: int = WIDTH,
+    threshold: float = THRESHOLD,
+    miss: float = MISS,
+) -> DataFrame:
+    """``doc_id, item_id, n_item_shingles, n_shared, containment`` of each item found in a document."""
+    verified = _matches(documents, items, width, threshold, miss)
     best = verified.groupBy("doc_id", "item_id").agg(F.max(F.struct((F.col("s") / F.col("n")).alias("c"), "n", "s")).alias("b"))
     return best.select(
         "doc_id",
@@ -117,8 +129,9 @@ def find_leaks(
 
 def decontaminate(documents: DataFrame, items: DataFrame, **options) -> DataFrame:
     """The documents in which no item is found; rows with a null id stay unless their text matches."""
-    bad = find_leaks(documents, items, **options).select(F.col("doc_id").alias("_leaked")).distinct()
-    return documents.join(bad, documents["doc_id"].eqNullSafe(bad["_leaked"]), "left_anti")
+    bad = _matches(documents, items, **options).select(F.col("doc_id").alias("_leaked"), F.col("text_key").alias("_text")).distinct()
+    same = documents["doc_id"].eqNullSafe(bad["_leaked"]) & _text_key(documents).eqNullSafe(bad["_text"])
+    return documents.join(bad, same, "left_anti")
 
 
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

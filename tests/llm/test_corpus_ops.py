@@ -210,6 +210,18 @@ def test_leaks_of_null_ids_beyond_the_broadcast_bound(spark, monkeypatch):
         monkeypatch.undo()
 
 
+def test_clean_rows_of_null_id_stay_beside_a_leaking_one(spark, monkeypatch):
+    rnd = random.Random(17)
+    item, clean = words(rnd, 30), words(rnd, 40)
+    rows = [(None, "x " + item), (None, clean), (None, clean), (None, None), (None, ""), (1, item), (1, clean), (2, clean)]
+    docs, bench = make(spark, rows), spark.createDataFrame([(5, item)], "item_id long, text string")
+    for bound in (decontam.BROADCAST_ENTRIES, 0):
+        monkeypatch.setattr(decontam, "BROADCAST_ENTRIES", bound)
+        kept = decontam.decontaminate(docs, bench)
+        assert kept.columns == docs.columns
+        assert Counter((r.doc_id, r.text) for r in kept.collect()) == Counter([(None, clean), (None, clean), (None, None), (None, ""), (2, clean)])
+
+
 # ---- licences
 
 
