@@ -6,13 +6,16 @@ up, and every order's probabilities come from joins and aggregations on n-gram
 types. The model is kept as arrays sorted by hash; where it has at most
 ``BROADCAST_ENTRIES`` entries, which bounds its size, executors hold the arrays,
 and beyond that n-grams are joined to it. Each language gets a lower and an upper
-bound of log-perplexity: its median minus and plus a multiple of its median
-absolute deviation, over the texts that pass the counting rules. Texts outside are
-rejected: below are repetitive ones, above are those unlike their language.
+bound of log-perplexity for every length class (a power of two of characters), over
+the texts that pass the counting rules: the language's median minus and plus a
+multiple of a robust deviation. A mean over n bytes spreads by about 1 / sqrt(n), so
+the deviation is that of the class, or, if that is larger, the language's scaled to
+the class's length; classes of few texts take the language's for their own. Texts
+outside are rejected: below are repetitive ones, above are those unlike their language.
 
 Defined cases: null counts as empty and has no words; texts too short for an
-n-gram have no perplexity and stand or fall by the counting rules; null is a
-language of its own; rows are judged one by one, so repeated rows and ids repeat;
+n-gram have no perplexity and stand or fall by the counting rules, as do texts of a
+class without any spread; null is a language of its own; rows are judged one by one, so repeated rows and ids repeat;
 an empty table gives an empty result; extra columns are ignored by judge and kept
 by keep_good.
 """
@@ -38,10 +41,10 @@ MIN_WORDS = 10
 #: Percent of words in repeated windows from which a text fails.
 MAX_REPEATED = 20
 REPEAT_WINDOW = 5
-#: A band reaches this many robust standard deviations from the median, and
-BAND = 8.0
-#: at least this far in log-perplexity.
-LEAST_BAND = 0.8
+#: A band reaches this many robust standard deviations from the median.
+BAND = 4.0
+#: Texts from which on a length class has a spread of its own.
+LEAST_CLASS = 30
 #: Entries of the model, of 12 bytes each, up to which executors hold it: 36 MB.
 BROADCAST_ENTRIES = 3_000_000
 #: Bytes of text whose n-grams are looked up together beyond that.
@@ -382,26 +385,43 @@ def _score_joined(documents: DataFrame, model: dict[str, DataFrame], keep: list[
     return rows.groupBy("_chunk").cogroup(done.groupBy("_chunk")).applyInArrow(finish, f"{_fields(documents, keep)}, {_STATS_SQL}")
 
 
-def bands(scored: DataFrame) -> DataFrame:
-    """``band_lang, low, high`` for each language, from a histogram of all scores; no score, no row."""
-    good = scored.where("not base_failed and log_ppl is not null")
-    hist = good.groupBy("lang", F.round(F.col("log_ppl") * _BIN).cast("long").alias("b")).agg(F.count("*").alias("n"))
+def _size_class() -> Column:
+    return F.floor(F.log2(F.greatest("word_chars", F.lit(1)))).cast("int")
+
+
+def _median(rows: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
+    """``keys, name, texts``: medians of ``value`` weighted by ``n``, and how many texts they are of."""
+    summed = rows.groupBy(*keys, value).agg(F.sum("n").alias("n"))
+    upto = W.partitionBy(*keys).orderBy(value).rowsBetween(W.unboundedPreceding, W.currentRow)
+    so_far, every = F.sum("n").over(upto), F.sum("n").over(W.partitionBy(*keys))
+    found = summed.select(*keys, value, so_far.alias("s"), every.alias("texts")).where("2 * s >= texts")
+    return found.groupBy(*keys).agg(F.min(value).alias(name), F.first("texts").alias("texts"))
 
-    def median(rows: DataFrame, value: str, name: str) -> DataFrame:
-        upto = W.partitionBy("lang").orderBy(value).rowsBetween(W.unboundedPreceding, W.currentRow)
-        so_far, every = F.sum("n").over(upto), F.sum("n").over(W.partitionBy("lang"))
-        return rows.select("lang", value, so_far.alias("s"), every.alias("e")).where("2 * s >= e").groupBy("lang").agg(F.min(value).alias(name))
 
-    mid = median(hist, "b", "mid").withColumnRenamed("lang", "l")
-    off = hist.join(mid, F.col("lang").eqNullSafe(F.col("l"))).select("lang", "mid", "n", F.abs(F.col("b") - F.col("mid")).alias("off"))
-    off = off.groupBy("lang", "mid", "off").agg(F.sum("n").alias("n"))
-    mad = median(off, "off", "mad").join(mid, F.col("lang").eqNullSafe(F.col("l")))
-    wide = F.greatest(F.col("mad") * 1.4826 * BAND / _BIN, F.lit(LEAST_BAND))
-    return mad.select(F.col("l").alias("band_lang"), (F.col("mid") / _BIN - wide).alias("low"), (F.col("mid") / _BIN + wide).alias("high"))
+def bands(scored: DataFrame) -> DataFrame:
+    """``band_lang, band_size, low, high`` for each language and length class, from a histogram of all scores; no score, no row.
+
+    Bounds are null where a class has no spread at all.
+    """
+    good = scored.where("not base_failed and log_ppl is not null")
+    hist = good.groupBy("lang", _size_class().alias("size"), F.round(F.col("log_ppl") * _BIN).cast("long").alias("b")).agg(F.count("*").alias("n"))
+    mid = _median(hist, ["lang"], "b", "mid").select(F.col("lang").alias("l"), "mid")
+    off = hist.join(mid, F.col("lang").eqNullSafe(F.col("l"))).select("lang", "size", "mid", "n", F.abs(F.col("b") - F.col("mid")).alias("off"))
+    root = F.sqrt(1.5 * F.pow(F.lit(2.0), F.col("size")))
+    off = off.withColumn("scaled", F.round(F.col("off") * root).cast("long"))
+    own = _median(off, ["lang", "size", "mid"], "off", "own")
+    whole = _median(off, ["lang"], "off", "whole").select(F.col("lang").alias("l"), "whole")
+    scaled = _median(off, ["lang"], "scaled", "scaled").select(F.col("lang").alias("k"), "scaled")
+    every = own.join(whole, F.col("lang").eqNullSafe(F.col("l"))).join(scaled, F.col("lang").eqNullSafe(F.col("k")))
+    spread = F.greatest(F.when(F.col("texts") >= LEAST_CLASS, F.col("own")).otherwise(F.col("whole")), F.col("scaled") / root)
+    wide = F.when(spread > 0, spread * 1.4826 * BAND)
+    low, high = (F.col("mid") - wide) / _BIN, (F.col("mid") + wide) / _BIN
+    return every.select(F.col("lang").alias("band_lang"), F.col("size").alias("band_size"), low.alias("low"), high.alias("high"))
 
 
 def _verdict(scored: DataFrame, band: DataFrame) -> DataFrame:
-    out = scored.join(F.broadcast(band) if band.count() <= 10_000 else band, F.col("lang").eqNullSafe(F.col("band_lang")), "left")
+    same = F.col("lang").eqNullSafe(F.col("band_lang")) & (_size_class() == F.col("band_size"))
+    out = scored.join(F.broadcast(band) if band.count() <= 10_000 else band, same, "left")
     inside = F.col("log_ppl").isNull() | F.col("log_ppl").between(F.col("low"), F.col("high"))
     return out.withColumn("kept", ~F.col("base_failed") & F.coalesce(inside, F.lit(True)))
 

@@ -240,3 +240,18 @@ def test_bands_reject_the_odd_and_keep_the_clean(spark):
     rows.append((900, " ".join("".join(chr(rnd.randrange(0x4E00, 0x9000)) for _ in range(6)) for _ in range(40))))
     kept = {r.doc_id for r in quality.keep_good(make(spark, rows)).collect()}
     assert kept == set(range(150))
+
+
+def test_both_bounds_reject_junk_of_the_same_alphabet(spark):
+    rnd = random.Random(19)
+    known = ["".join(rnd.choice("etaoinsrhl") for _ in range(rnd.randrange(3, 9))) for _ in range(300)]
+    plain = lambda n: " ".join(rnd.choices(known, [1 / (k + 5) for k in range(300)], k=n))
+    rows = [(i, plain(rnd.choice((60, 120, 240)))) for i in range(400)]
+    rows.append((900, " ".join(rnd.choice(known[:8]) for _ in range(120))))  # the commonest words only, but hardly five in a row twice
+    rows.append((901, " ".join(w + rnd.choice(("###", "$$$", " |")) for w in plain(120).split())))
+    rows.append((902, " ".join("".join(rnd.sample(w, len(w))) for w in plain(120).split())))
+    out = {r.doc_id: r for r in quality.judge(make(spark, rows)).collect()}
+    assert not any(r.base_failed for r in out.values())
+    middle = sorted(r.log_ppl for r in out.values())[len(out) // 2]
+    assert out[900].log_ppl < middle < min(out[901].log_ppl, out[902].log_ppl)
+    assert {i for i, r in out.items() if r.kept} == set(range(400))
