@@ -1,20 +1,24 @@
 """Benchmark decontamination by size-partitioned MinHash containment search.
 
-A test item is short and a document may be long, so Jaccard similarity of the
-two says little. Instead the item alone is sketched: the ``k`` smallest hashes of
-its word shingles. An item of which a document contains a share ``t`` has none of
-its sketch in the document with a chance of at most ``(1 - t) ** k``; items are
-partitioned by size and each partition takes the ``k`` that its size needs, items
-no larger than that being their own sketch. Documents look their shingles up in
-the index of sketches; each candidate is verified by exact shingle containment.
+A test item is short and a document may be long, so Jaccard similarity of the two
+says little, and sketches of documents would hold nothing of an item. So the short
+side is sketched and the long one isn't: an item's sketch is its ``k`` shingles of
+least hash (bottom-k MinHash), and a document looks all its shingles up in the index
+of sketches. Of an item of which a document contains a share ``t``, none of the sketch
+is in the document with a chance of at most ``(1 - t) ** k``. Items are partitioned by
+size (powers of two of shingles), and each partition has its own ``k``: what makes
+misses impossible for its largest items, or ``miss`` likely at most, whichever is less.
+Each candidate is verified by exact shingle containment.
 
 DataFrame functions only. Shingles are ``width`` consecutive normalised words
 (ASCII case folded, other characters than letters and digits dropped).
 
-Defined cases: null and empty texts, texts and items with fewer words than a
-shingle match nothing; repeated rows give one result; rows that share an id count
-as one with the higher containment; an empty table gives an empty result; extra
-columns are ignored.
+Defined cases: null and empty texts, texts and items with fewer words than a shingle
+match nothing; texts of any length are searched whole; repeated rows give one result;
+rows that share an id count as one with the higher containment, and so do rows without
+an id, whose matches are returned under a null id; items that tie are all returned;
+an empty table gives an empty result; extra columns, whatever their names, are ignored
+by find_leaks and kept by decontaminate.
 """
 
 from __future__ import annotations
@@ -22,6 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from codeweft.llm.salting import salted_join
 from codeweft.sources.scratch import Workspace
 
 WIDTH = 5
@@ -69,13 +74,18 @@ def sketch_size(size: Column, threshold: float, miss: float) -> Column:
 
 
 def sketches(items: DataFrame, width: int, threshold: float, miss: float) -> DataFrame:
-    """``(item_id, item_grams, g)``: one row for each entry of an item's sketch."""
+    """``(item_id, part, item_grams, g)``: one row for each entry of an item's sketch.
+
+    Partition ``part`` holds the items of 2**part to 2**(part + 1) - 1 shingles; all
+    of them have sketches of the size that its largest ones need.
+    """
     grams = F.array_distinct(shingles(F.col("text"), width))
     sets = items.select("item_id", grams.alias("item_grams")).where("size(item_grams) > 0")
-    size = F.size("item_grams")
+    sets = sets.withColumn("part", F.floor(F.log2(F.size("item_grams"))).cast("int"))
     ranked = F.array_sort(F.transform("item_grams", lambda g: F.struct(F.hash(g).alias("h"), g.alias("g"))))
-    entry = F.explode(F.slice(ranked, 1, sketch_size(size, threshold, miss))).alias("e")
-    return sets.select("item_id", "item_grams", entry).select("item_id", "item_grams", F.col("e.g").alias("g"))
+    k = sketch_size(F.pow(F.lit(2), F.col("part") + 1) - 1, threshold, miss)
+    entry = F.explode(F.slice(ranked, 1, k)).alias("e")
+    return sets.select("item_id", "part", "item_grams", entry).select("item_id", "part", "item_grams", F.col("e.g").alias("g"))
 
 
 def _text_key(documents: DataFrame) -> Column:
@@ -86,23 +96,21 @@ def _text_key(documents: DataFrame) -> Column:
 def _matches(documents: DataFrame, items: DataFrame, width: int = WIDTH, threshold: float = THRESHOLD, miss: float = MISS) -> DataFrame:
     """``doc_id, text_key, item_id, n, s`` of each row and item that match: the item's shingles and those shared."""
     ws = Workspace(documents.sparkSession, "leaks")
-    index = ws.put(sketches(items, width, threshold, miss))
-    grams = shingles(F.col("text"), width)
+    index = ws.put(sketches(items, width, threshold, miss).select("item_id", "item_grams", "g"))
     n, total = index.agg(F.count("*"), F.coalesce(F.sum(F.size("item_grams")), F.lit(0))).first()
+    docs = documents.select("doc_id", _text_key(documents).alias("text_key"), "text", shingles(F.col("text"), width).alias("grams"))
     if n <= BROADCAST_ENTRIES and total <= BROADCAST_SHINGLES:
-        # Each row is tested where it is read; only rows with a hit go on, with their shingles.
-        entries = [r.g for r in index.select("g").distinct().collect()]
-        both = let(grams, lambda g: F.struct(g.alias("grams"), F.array_distinct(F.filter(g, lambda x: x.isin(entries))).alias("hits")))
-        hit = documents.select("doc_id", _text_key(documents).alias("text_key"), both.alias("b")).where("size(b.hits) > 0")
-        candidates = hit.select("doc_id", "text_key", "b.grams", F.explode("b.hits").alias("g")).join(F.broadcast(index), "g")
+        # A row's shingles meet the index where the row is read; only hits go on, with the row's shingles.
+        every = docs.select("doc_id", "text_key", "grams", F.explode(F.array_distinct("grams")).alias("g"))
+        candidates = every.join(F.broadcast(index), "g")
     else:
         # Rows meet again by hashes of all they hold, as ids may be null or shared; whatever meets is verified.
-        row = F.xxhash64("doc_id", "text").alias("row")
-        docs = documents.select("doc_id", _text_key(documents).alias("text_key"), row, grams.alias("grams"))
-        entries = index.select(F.xxhash64("item_id", "item_grams").alias("item"), "item_id", "item_grams", "g")
-        pairs = docs.select("row", F.explode(F.array_distinct("grams")).alias("g")).join(entries.select("item", "g"), "g").select("row", "item").distinct()
+        docs = docs.withColumn("row", F.xxhash64("doc_id", "text")).drop("text")
+        entries = ws.put(index.select(F.xxhash64("item_id", "item_grams").alias("item"), "item_id", "item_grams", "g"))
+        every = docs.select("row", F.explode(F.array_distinct("grams")).alias("g"))
+        pairs = ws.put(salted_join(every, entries.select("item", "g"), "g").select("row", "item").distinct())
         sets = entries.select("item", "item_id", "item_grams").distinct()
-        candidates = pairs.join(docs, "row").join(sets, "item")
+        candidates = salted_join(pairs.join(docs, "row"), sets, "item")
     size, shared = F.size("item_grams"), F.size(F.array_intersect("item_grams", "grams"))
     counted = candidates.select("doc_id", "text_key", "item_id", size.alias("n"), shared.alias("s"))
     return counted.where(F.col("s") >= threshold * F.col("n") - 1e-9)
