@@ -152,9 +152,9 @@ def _id_bits(ids: DataFrame) -> np.ndarray:
     h = F.xxhash64("doc_id")
     bit = F.expr(f"shiftleft(1L, cast(shiftrightunsigned(h, {64 - FILTER_BITS}) & 63 as int))")
     word = ids.select(h.alias("h")).select(F.shiftrightunsigned("h", 70 - FILTER_BITS).alias("w"), bit.alias("b"))
+    t = word.groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
     bits = np.zeros(1 << (FILTER_BITS - 6), np.int64)
-    for r in word.groupBy("w").agg(F.bit_or("b").alias("b")).toLocalIterator():
-        bits[r.w] = r.b
+    bits[t.column("w").to_numpy()] = t.column("b").to_numpy()
     return bits.view(np.uint8)
 
 
@@ -177,7 +177,9 @@ def _sets(documents: DataFrame, reps: DataFrame, rids: DataFrame, ws: Workspace,
     every = documents.select(F.xxhash64("doc_id"), "text").mapInArrow(batches, "set binary, grams array<long>")
     # One text may come several times, under ids that share a filter bit or repeat.
     found = every.join(named, "set").groupBy("rid").agg(F.first("grams").alias("grams"))
-    return ws.put(found.select("rid", "grams", F.size("grams").alias("n")))
+    out = ws.put(found.select("rid", "grams", F.size("grams").alias("n")))
+    bits.destroy()
+    return out
 
 
 def _verified(pairs: DataFrame, reps: DataFrame, sets: DataFrame, ws: Workspace, percent: int, miss: float) -> DataFrame:

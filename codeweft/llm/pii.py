@@ -365,9 +365,11 @@ def _scan(keep: list[str], rows: Iterator[pa.RecordBatch]) -> Iterator[pa.Record
 def bootstrap(texts: DataFrame, mentions: DataFrame, ws: Workspace) -> tuple[DataFrame, DataFrame] | None:
     """``(p, kind, confidence)`` trusted and ``(instance, kind)`` accepted after the last round; None if nothing is accepted."""
     spark = texts.sparkSession
+    sent = []
 
     def passed(found, keys: DataFrame, width: int) -> DataFrame:
         bits = spark.sparkContext.broadcast(_filter_bits(keys))
+        sent.append(bits)
         names = [f"k{i}" for i in range(width)]
         counted = texts.mapInArrow(_tallied(found(bits), width), ", ".join(f"{c} long" for c in (*names, "n")))
         return counted.groupBy(*names).agg(F.sum("n").alias("n"))
@@ -409,6 +411,8 @@ def bootstrap(texts: DataFrame, mentions: DataFrame, ws: Workspace) -> tuple[Dat
         known = ws.put(known.union(taken.select("instance")))
         more = salted_join(places.where("p <> 0"), taken, "instance").select("p", "instance", "kind", "n")
         edges = ws.put(edges.union(more))
+    for bits in sent:  # what passes have found is written
+        bits.destroy()
     return None if accepted is None else (trusted, accepted)
 
 

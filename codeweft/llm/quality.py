@@ -1,23 +1,30 @@
 """Quality rules: counting rules, then perplexity bands of an n-gram model.
 
-The model is a byte n-gram model with interpolated modified Kneser-Ney smoothing,
-one for each language. Tasks count the n-grams of all texts, Spark adds the counts
-up, and every order's probabilities come from joins and aggregations on n-gram
-types. The model is kept as arrays sorted by hash; where it has at most
-``BROADCAST_ENTRIES`` entries, which bounds its size, executors hold the arrays,
-and beyond that n-grams are joined to it. Each language gets a lower and an upper
-bound of log-perplexity for every length class (a power of two of characters), over
-the texts that pass the counting rules: the language's median minus and plus a
-multiple of a robust deviation. A mean over n bytes spreads by about 1 / sqrt(n), so
-the deviation is that of the class, or, if that is larger, the language's scaled to
-the class's length; classes of few texts take the language's for their own. Texts
-outside are rejected: below are repetitive ones, above are those unlike their language.
-
-Defined cases: null counts as empty and has no words; texts too short for an
-n-gram have no perplexity and stand or fall by the counting rules, as do texts of a
-class without any spread; null is a language of its own; rows are judged one by one, so repeated rows and ids repeat;
-an empty table gives an empty result; extra columns are ignored by judge and kept
-by keep_good.
+The model is a byte n-gram model with interpolated modified Kneser-Ney smoothing, one
+for each language, with discounts of its own. It is fitted on all texts of its
+language that read like prose: with ``MIN_WORDS`` words and at most one symbol for
+``SYMBOL_EVERY`` characters; so what it judges as junk isn't what it has learned from.
+Tasks count the n-grams, Spark adds the counts up, and every order's probabilities
+come from joins and aggregations on n-gram types. The model is kept as arrays sorted
+by hash; where it has at most ``BROADCAST_ENTRIES`` entries, which bounds its size,
+executors hold the arrays, and beyond that n-grams are joined to it. Each language
+gets a lower and an upper bound of log-perplexity for every length class (a power of
+two of characters), over the texts that pass the counting rules: the language's
+median minus and plus a multiple of a robust deviation. A mean over n bytes spreads by
+about 1 / sqrt(n), so the deviation is that of the class, or, if that is larger, the
+language's scaled to the class's length; classes of few texts take the language's for
+their own. Texts outside are rejected: below are repetitive ones, above are those
+unlike their language.
+
+Defined cases: null counts as empty and has no words; texts too short for an n-gram
+have no perplexity and stand or fall by the counting rules, as do texts of a class
+without any spread; texts of any length are read whole, in slices of rows, and one
+very long text is one slice; null is a language of its own, and so is one of which no
+text reads like prose, whose n-grams are all unknown and equally likely; figures on a
+bound are inside it, and of the middle values of an even number of texts the lower one
+is the median; rows are judged one by one, so repeated rows and ids repeat; an empty
+table gives an empty result; extra columns, whatever their names, are ignored by judge
+and kept by keep_good.
 """
 
 from __future__ import annotations
@@ -34,13 +41,15 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from codeweft.llm import words as wd
-from codeweft.sources.scratch import Workspace, sheltered
+from codeweft.sources.scratch import Workspace, sheltered, steady
 
 ORDER = 5
 MIN_WORDS = 10
 #: Percent of words in repeated windows from which a text fails.
 MAX_REPEATED = 20
 REPEAT_WINDOW = 5
+#: Texts with a symbol for fewer characters of words than this teach the model nothing.
+SYMBOL_EVERY = 100
 #: A band reaches this many robust standard deviations from the median.
 BAND = 4.0
 #: Texts from which on a length class has a spread of its own.
@@ -105,6 +114,15 @@ def base_failed(n_words: np.ndarray, n_repeat: np.ndarray) -> np.ndarray:
     return (n_words < MIN_WORDS) | (100 * n_repeat > MAX_REPEATED * n_words)
 
 
+def reads_like_prose(column: pa.Array) -> np.ndarray:
+    """Which texts have enough words and few symbols."""
+    data, offsets = wd.utf8(column)
+    starts, _ = wd.spans(data, offsets)
+    total = lambda mask: np.diff(np.concatenate([[0], np.cumsum(mask)])[offsets])
+    chars, symbols = total(~wd.SPACE[data] & ((data & 0xC0) != 0x80)), total(SYMBOL[data])
+    return (np.diff(wd.per_row(starts, offsets)) >= MIN_WORDS) & (symbols * SYMBOL_EVERY <= chars)
+
+
 # ---- n-grams of bytes, packed: language in the upper 24 bits, then one byte for each place
 
 
@@ -153,7 +171,9 @@ def _count(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for b in rows:
         for lo, hi in wd.slices(b.column(0)):
-            held.append(_summed(_codes(b.column(0).slice(lo, hi - lo), b.column(1).slice(lo, hi - lo).to_pylist())[0]))
+            text, lang = b.column(0).slice(lo, hi - lo), b.column(1).slice(lo, hi - lo)
+            prose = pa.array(reads_like_prose(text))
+            held.append(_summed(_codes(text.filter(prose), lang.filter(prose).to_pylist())[0]))
             size += len(held[-1][0])
             if size > 400_000:
                 held = [merged()]
@@ -187,28 +207,38 @@ def _context(order: int) -> Column:
     return F.col("code").bitwiseAND(F.lit(_lang_bits())).bitwiseOR(low)
 
 
-def discounts(t: list[int]) -> list[float]:
-    """The three discounts of modified Kneser-Ney from the numbers of types counted 1 to 4 times."""
-    y = t[0] / (t[0] + 2 * t[1]) if t[0] else 0.0
+def _discount_table(t: DataFrame) -> DataFrame:
+    """``tag, d1, d2, d3``: each language's discounts for one order; a row a language."""
+    tag = F.shiftright("code", _LANG_SHIFT).alias("tag")
+    times = t.where("c <= 4").groupBy(tag, "c").agg(F.count("*").alias("n"))
+    y = times.groupBy("tag").agg(*[F.coalesce(F.sum(F.when(F.col("c") == k, F.col("n"))), F.lit(0)).alias(f"t{k}") for k in (1, 2, 3, 4)])
+    y = y.withColumn("y", F.when(F.col("t1") > 0, F.col("t1") / (F.col("t1") + 2 * F.col("t2"))).otherwise(0.0))
     out = []
-    for k in range(3):
-        d = k + 1 - (k + 2) * y * t[k + 1] / t[k] if t[k] else (k + 1) / 2
-        out.append(min(max(d, 0.05), k + 0.95))
-    return out
+    for k in (1, 2, 3):
+        d = F.when(F.col(f"t{k}") > 0, k - (k + 1) * F.col("y") * F.col(f"t{k + 1}") / F.col(f"t{k}")).otherwise(k / 2)
+        out.append(F.least(F.greatest(d, F.lit(0.05)), F.lit(k - 0.05)).alias(f"d{k}"))
+    return y.select("tag", *out)
 
 
 def fit(corpus: DataFrame, ws: Workspace) -> dict[str, DataFrame]:
-    """``grams(ord, code, logp)`` and ``contexts(ord, code, logw)`` of all orders, from all rows of the corpus."""
+    """``grams(ord, code, logp)`` and ``contexts(ord, code, logw)`` of all orders, from all rows that read like prose."""
     counted = corpus.select("text", "lang").where("text is not null").mapInArrow(_count, "code long, c long")
-    tables = {ORDER: ws.put(counted.groupBy("code").agg(F.sum("c").alias("c")))}
+    top = ws.put(counted.groupBy("code").agg(F.sum("c").alias("c")))
+    with steady(ws.spark):  # an n-gram has at most 256 neighbours of either sort, so no key is hot
+        return _orders(top, ws)
+
+
+def _orders(top: DataFrame, ws: Workspace) -> dict[str, DataFrame]:
+    tables = {ORDER: top}
     for k in range(ORDER - 1, 0, -1):
         tables[k] = ws.put(tables[k + 1].select(_suffix(k + 1).alias("code")).groupBy("code").agg(F.count("*").alias("c")))
     grams, contexts, lower = [], [], None
     for k in range(1, ORDER + 1):
-        t = {r.c: r.n for r in tables[k].where("c <= 4").groupBy("c").agg(F.count("*").alias("n")).collect()}
-        d1, d2, d3 = discounts([t.get(i, 0) for i in (1, 2, 3, 4)])
-        off = F.when(F.col("c") == 1, d1).when(F.col("c") == 2, d2).otherwise(d3)
-        own = tables[k].select("code", "c", off.alias("d"), _context(k).alias("ctx"), _suffix(k).alias("suf"))
+        off = F.when(F.col("c") == 1, F.col("d1")).when(F.col("c") == 2, F.col("d2")).otherwise(F.col("d3"))
+        tagged = tables[k].withColumn("tag", F.shiftright("code", _LANG_SHIFT))
+        by = ws.put(_discount_table(tables[k]))
+        tagged = tagged.join(F.broadcast(by) if by.count() <= 10_000 else by, "tag", "left").na.fill({"d1": 0.5, "d2": 1.0, "d3": 1.5})
+        own = tagged.select("code", "c", off.alias("d"), _context(k).alias("ctx"), _suffix(k).alias("suf"))
         stats = own.groupBy("ctx").agg(F.sum("c").alias("total"), F.sum("d").alias("mass"))
         stats = ws.put(stats.select("ctx", "total", (F.col("mass") / F.col("total")).alias("w")))
         joined = own.join(stats, "ctx")
@@ -220,6 +250,7 @@ def fit(corpus: DataFrame, ws: Workspace) -> dict[str, DataFrame]:
         lower = ws.put(joined.select("code", p.alias("p")))
         grams.append(lower.select(F.lit(k).alias("ord"), "code", F.log("p").cast("float").alias("logp")))
         contexts.append(stats.select(F.lit(k).alias("ord"), F.col("ctx").alias("code"), F.log("w").cast("float").alias("logw")))
+    ws.drop(*tables.values())
     return {"grams": reduce(DataFrame.union, grams), "contexts": reduce(DataFrame.union, contexts)}
 
 
@@ -299,11 +330,14 @@ def _fields(df: DataFrame, columns: list[str]) -> str:
 
 
 def score(documents: DataFrame, model: dict[str, DataFrame], keep: list[str], ws: Workspace) -> DataFrame:
-    """Columns ``keep`` with the counting rules' figures and the mean log-perplexity of a byte."""
+    """Columns ``keep`` with the counting rules' figures and the mean log-perplexity of a byte, as a written table."""
     entries = model["grams"].count() + model["contexts"].count()
-    if entries <= BROADCAST_ENTRIES:
-        return _score_held(documents, documents.sparkSession.sparkContext.broadcast(_held(model)), keep)
-    return _score_joined(documents, model, keep, ws)
+    if entries > BROADCAST_ENTRIES:
+        return ws.put(_score_joined(documents, model, keep, ws))
+    held = documents.sparkSession.sparkContext.broadcast(_held(model))
+    out = ws.put(_score_held(documents, held, keep))
+    held.destroy()
+    return out
 
 
 def _scored_batch(b: pa.RecordBatch, keep: list[str], ppl: pa.Array) -> pa.RecordBatch:
@@ -430,7 +464,7 @@ def judge(documents: DataFrame) -> DataFrame:
     """``doc_id``, the counting rules' figures, ``base_failed``, ``log_ppl`` and ``kept`` for every row."""
     ws = Workspace(documents.sparkSession, "quality")
     docs = documents.select("doc_id", "text", "lang")
-    scored = ws.put(score(docs, fit(docs, ws), ["doc_id", "lang"], ws))
+    scored = score(docs, fit(docs, ws), ["doc_id", "lang"], ws)
     out = _verdict(scored, ws.put(bands(scored)))
     return out.select("doc_id", *_STATS, "base_failed", "log_ppl", "kept")
 
@@ -439,9 +473,9 @@ def keep_good(documents: DataFrame) -> DataFrame:
     """The documents that judge keeps, with their columns."""
     ws = Workspace(documents.sparkSession, "quality")
     docs, restored = sheltered(documents, ("text", "lang"))
-    model = fit(docs, ws)
-    band = ws.put(bands(score(docs, model, ["lang"], ws)))
-    return restored(_verdict(score(docs, model, docs.columns, ws), band).where("kept"))
+    # Written with their figures: texts are scored once, for the bands and the verdict.
+    scored = score(docs, fit(docs, ws), docs.columns, ws)
+    return restored(_verdict(scored, ws.put(bands(scored))).where("kept"))
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
