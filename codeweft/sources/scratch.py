@@ -7,6 +7,7 @@ executor, and rows are read again exactly as they were the first time.
 from __future__ import annotations
 
 import atexit
+import contextlib
 import os
 import tempfile
 import uuid
@@ -17,10 +18,12 @@ _OWN: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's ``spark.checkpoint.dir``; a temporary folder only where that is unset."""
+    """The cluster's ``spark.checkpoint.dir``; a temporary folder where that is unset and all tasks run on this machine."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _OWN:
         _OWN[app] = "file://" + tempfile.mkdtemp(prefix="codeweft-")
@@ -46,6 +49,23 @@ def sheltered(df: DataFrame, used: tuple[str, ...]):
     return df.select(*[df[f"`{old}`"].alias(new) for old, new in names.items()]), restored
 
 
+@contextlib.contextmanager
+def steady(spark: SparkSession):
+    """Many short steps in a row: plans are made once and nothing is broadcast, which spares the driver threads and memory.
+
+    Skew isn't mended while it lasts, so joins on keys that may be hot must be salted.
+    """
+    settings = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 class Workspace:
     """A folder of one job's intermediate tables; removed when the driver exits."""
 
