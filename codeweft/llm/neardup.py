@@ -34,6 +34,7 @@ from pyspark.sql import functions as F
 
 from codeweft.llm import words as wd
 from codeweft.llm.components import components
+from codeweft.llm.salting import salted_join
 from codeweft.sources.scratch import Workspace, sheltered
 
 BANDS, ROWS = 32, 4
@@ -277,7 +278,7 @@ def link_sets(documents: DataFrame, reps: DataFrame, ws: Workspace, width: int,
     # The smallest member is a pivot of all bands of a group, the other one differs from band to band.
     other = F.min(F.struct(F.xxhash64("rid", "bucket").alias("h"), "rid"))["rid"]
     pivots = left.groupBy("bucket").agg(F.array(F.min("rid"), other).alias("p")).select("bucket", F.explode(F.array_distinct("p")).alias("pivot"))
-    pairs = left.join(pivots, "bucket").where("rid <> pivot").select(F.col("pivot").alias("a"), F.col("rid").alias("b"))
+    pairs = salted_join(left, pivots, "bucket").where("rid <> pivot").select(F.col("pivot").alias("a"), F.col("rid").alias("b"))
     edges = _verified(pairs, reps, sets, ws, percent, miss)
     labels = None
     if not edges.isEmpty():

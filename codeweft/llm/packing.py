@@ -7,9 +7,17 @@ their repeat counts to the histogram; rounded down, they are taken as they are,
 and the pieces that are left are packed by best fit, longest first. Pieces find
 their place by their rank among the pieces of their length.
 
-Defined cases: null and empty texts are a single piece of the end token alone;
-repeated rows and ids are packed one by one; an empty table gives an empty result;
-other columns than doc_id and text are ignored.
+The fit runs on the driver over the histogram alone: at most ``capacity`` patterns are
+in use at once, so its time and memory have bounds that the input doesn't move. The
+table of places has a row for each length of each pattern in use and for what is left
+over; it is broadcast up to ``BROADCAST_PLACES`` rows and joined beyond.
+
+Defined cases: null and empty texts are a single piece of the end token alone; texts
+of any length are encoded whole and cut into pieces; pieces of one length that tie
+are placed in the order of their tasks; patterns that gain equally are tried in the
+order of their lengths; repeated rows and ids are packed one by one; an empty table
+gives an empty result; other columns than doc_id and text, whatever their names, are
+ignored.
 """
 
 from __future__ import annotations
@@ -31,6 +39,10 @@ from codeweft.sources.scratch import Workspace
 CAPACITY = 1024
 END = 2
 _ROWS = 50  # bits of a rank
+#: Rows of the table of places up to which it is broadcast: 40 MB.
+BROADCAST_PLACES = 1_000_000
+#: Neighbouring ranks that meet places together beyond that.
+STRETCH = 64
 
 _TOKENIZERS: dict = {}
 
@@ -91,18 +103,19 @@ def fit(pats: np.ndarray, counts: np.ndarray, weight: float = 1.0, rounds: int =
     """Non-negative least squares of repeat counts: an active-set method that admits columns by the block."""
     n = len(counts)
     x = np.zeros(len(pats))
-    active: np.ndarray = np.zeros(0, np.int64)
+    scale = (np.arange(n) / max(n - 1, 1)) ** weight  # a long piece left over costs more than a short one
+    root = np.sqrt(scale)
+    active, a, gram = np.zeros(0, np.int64), np.zeros((n, 0)), np.zeros((0, 0))
 
-    def apply(w: np.ndarray, rows: np.ndarray) -> np.ndarray:
-        got = np.zeros(n)
+    def columns(which: np.ndarray) -> np.ndarray:
+        out = np.zeros((n, len(which)))
         for c in range(3):
-            got += np.bincount(rows[:, c], w, n)
-        got[0] = 0
-        return got
+            np.add.at(out, (pats[which, c], np.arange(len(which))), 1.0)
+        out[0] = 0
+        return out * root[:, None]
 
-    scale = (np.arange(n) / max(n - 1, 1)) ** weight  # a long piece left over costs more than a short one
     for _ in range(rounds):
-        rest = (counts - apply(x, pats)) * scale
+        rest = (counts * root - a @ x[active]) * root
         rest[0] = 0
         gain = rest[pats].sum(1)
         gain[active] = 0
@@ -118,30 +131,19 @@ def fit(pats: np.ndarray, counts: np.ndarray, weight: float = 1.0, rounds: int =
                 fresh.append(p)
                 if len(fresh) == width:
                     break
+        b = columns(np.array(fresh, np.int64))
+        both = a.T @ b
+        gram = np.block([[gram, both], [both.T, b.T @ b]])
+        a = np.concatenate([a, b], 1)
         active = np.concatenate([active, np.array(fresh, np.int64)])
-        while True:
-            a = np.zeros((n, len(active)))
-            for c in range(3):
-                np.add.at(a, (pats[active, c], np.arange(len(active))), 1.0)
-            a[0] = 0
-            a *= np.sqrt(scale)[:, None]
-            gram = a.T @ a
-            gram[np.diag_indices_from(gram)] += 1e-7
-            z = np.linalg.solve(gram, a.T @ (counts * np.sqrt(scale)))
+        while len(active):
+            z = np.linalg.solve(gram + 1e-7 * np.eye(len(active)), a.T @ (counts * root))
+            x[:] = 0
             if (z > 0).all():
-                x[:] = 0
                 x[active] = z
                 break
-            old = x[active]
-            down = z <= 0
-            step = float(np.min(old[down] / np.maximum(old[down] - z[down], 1e-300)))
-            new = np.maximum(old + step * (z - old), 0)
-            keep = ~(down & (new <= 1e-9 * max(1.0, float(new.max()))))
-            x[:] = 0
-            x[active[keep]] = new[keep]
-            active = active[keep]
-            if not len(active):
-                break
+            keep = z > 0  # those of no use go together; a later round may admit them again
+            active, a, gram = active[keep], a[:, keep], gram[np.ix_(keep, keep)]
     return x
 
 
@@ -168,13 +170,21 @@ def best_fit(left: np.ndarray, capacity: int) -> list[tuple[tuple[int, ...], int
     return [(p, r) for group in space.values() for p, r in group]
 
 
-#: Powers of a length by which least squares weighs what is left of it: the plan of fewest sequences is taken.
+#: Powers of a length by which least squares weighs what is left of it, as they are tried.
 WEIGHTS = (1.0, 3.0)
 
 
 def plan(counts: np.ndarray, capacity: int) -> list[tuple[tuple[int, ...], int]]:
-    """``(lengths of a sequence, repeats)`` that use up the histogram exactly."""
-    return min((weighted_plan(counts, capacity, w) for w in WEIGHTS), key=lambda p: sum(r for _, r in p))
+    """``(lengths of a sequence, repeats)`` that use up the histogram exactly: of the weightings' plans the shortest."""
+    best, least = None, -(-int((counts * np.arange(len(counts))).sum()) // capacity)
+    for w in WEIGHTS:
+        found = weighted_plan(counts, capacity, w)
+        n = sum(r for _, r in found)
+        if best is None or n < best[0]:
+            best = n, found
+        if n == least:  # no plan can be shorter
+            break
+    return best[1]
 
 
 def weighted_plan(counts: np.ndarray, capacity: int, weight: float) -> list[tuple[tuple[int, ...], int]]:
@@ -244,11 +254,13 @@ def pack(
     base = sizes.select("part", "length", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
     ranked = table.join(base, ["part", "length"]).withColumn("rank", F.col("base") + F.col("place"))
     slots = slot_table(plan(counts, capacity), capacity)
-    send = spark.sparkContext.broadcast(slots)  # bounded by the number of patterns, whatever the input
     keep = ["doc_id", "piece", "start", "length", "ids_crc32", *(["ids"] if with_ids else [])]
+    if len(slots[0]) > BROADCAST_PLACES:
+        return _placed_by_join(ranked.select(*keep, "rank"), slots, ws)
+    send = spark.sparkContext.broadcast(slots)
 
     def placed(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, low, first, offset = send.value
+        keys, low, first, offset, _ = send.value
         for b in rows:
             length, rank = (b.column(c).to_numpy() for c in ("length", "rank"))
             at = np.searchsorted(keys, (length << _ROWS) + rank, "right") - 1
@@ -262,19 +274,31 @@ def pack(
     )
 
 
+def _placed_by_join(ranked: DataFrame, slots: tuple[np.ndarray, ...], ws: Workspace) -> DataFrame:
+    """Places by a join on length and stretch of ranks, for any number of places."""
+    keys, low, first, offset, repeats = slots
+    table = pa.table({"len": keys >> _ROWS, "low": low, "first": first, "offset": offset, "upto": low + repeats})
+    runs = ws.put(ws.spark.createDataFrame(table))
+    stretch = F.explode(F.sequence(F.floor(F.col("low") / STRETCH), F.floor((F.col("upto") - 1) / STRETCH)))
+    runs = runs.withColumn("stretch", stretch)
+    within = (F.col("length") == F.col("len")) & (F.floor(F.col("rank") / STRETCH) == F.col("stretch"))
+    out = ranked.join(runs, within & (F.col("rank") >= F.col("low")) & (F.col("rank") < F.col("upto")))
+    return out.withColumn("sequence_id", F.col("first") + F.col("rank") - F.col("low")).select(*ranked.drop("rank").columns, "sequence_id", "offset")
+
+
 def slot_table(packed: list[tuple[tuple[int, ...], int]], capacity: int) -> tuple[np.ndarray, ...]:
-    """For pieces by length and rank: where a run of ranks begins, its first sequence and its offset there."""
+    """For pieces by length and rank: where a run of ranks begins, its first sequence, its offset there and its length."""
     used = np.zeros(capacity + 1, np.int64)
     rows, sequence = [], 0
     for lengths, repeats in packed:
         offset = 0
         for v in lengths:
-            rows.append(((v << _ROWS) + int(used[v]), int(used[v]), sequence, offset))
+            rows.append(((v << _ROWS) + int(used[v]), int(used[v]), sequence, offset, repeats))
             used[v] += repeats
             offset += v
         sequence += repeats
     rows.sort()
-    return tuple(np.array(c, np.int64) for c in zip(*rows, strict=True)) if rows else (np.zeros(0, np.int64),) * 4
+    return tuple(np.array(c, np.int64) for c in zip(*rows, strict=True)) if rows else (np.zeros(0, np.int64),) * 5
 
 
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
