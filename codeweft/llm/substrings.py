@@ -1,24 +1,30 @@
-"""Substring deduplication by relative Lempel-Ziv parsing.
+"""Substring deduplication by relative parsing against indexed reference blocks.
 
 The corpus is its own reference. It is cut into blocks of documents, and every
 block is indexed: first the anchors of all blocks (the least hash of the short
 word runs in each window, so equal windows have equal anchors) meet in hash
 partitions and show which recur; then the windows whose anchor recurs meet there
-and learn their earliest source. Each document is then factored from left to
-right: at a window with an earlier source the longest factor that the source and
-those after it go on to give is taken, and parsing resumes behind it; windows that
-begin in the last words of a factor, before its boundary, are looked up as well,
-as other blocks may hold them. Factors of at least a window's length are
-duplicate spans.
+and learn their earliest source. Each document is then factored from left to right:
+a factor begins at a window with an earlier source and goes on while the next
+window's source is the source's next word; where that ends, at the factor's boundary,
+the windows that cross it are looked up on their own, as another block may hold them.
+Factors of at least a window's length are duplicate spans.
+
+This isn't the greedy parse of a document against each block's text: that takes every
+block as a reference of every other, which grows with the square of the corpus, while
+windows are looked up once however many blocks there are. What is removed is the
+same: a word goes if and only if a window that covers it has an earlier source.
 
 What travels between a block and a hash partition is a sorted array of hashes, one
 entry for each different value in the block, so a passage that many documents
 share is one entry a block, and rows never outnumber values.
 
-Defined cases: null counts as empty and has no words; of the rows that share an id
-the order is by start alone, so equal windows at equal starts of one id are both
-first; a null id comes before all others; an empty table gives an empty result;
-extra columns are ignored by factors and kept by deduplicated.
+Defined cases: null counts as empty and has no words; texts of any length are parsed
+whole, within one task; windows that tie for the earliest source are at one place; of
+the rows that share an id the order is by start alone, so equal windows at equal
+starts of one id are both first; a null id comes before all others; ids that aren't
+integers order as their type does; an empty table gives an empty result; extra
+columns, whatever their names, are ignored by factors and kept by deduplicated.
 """
 
 from __future__ import annotations
@@ -32,7 +38,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codeweft.llm import words as wd
-from codeweft.sources.scratch import sheltered, workers_import_package
+from codeweft.sources.scratch import Workspace, sheltered, workers_import_package
 
 WINDOW = 20
 #: Words of the runs whose least hash is a window's anchor.
@@ -300,13 +306,39 @@ def _kept_text(b: Block, row: int, gone: np.ndarray) -> bytes:
     return b" ".join([b.data[s:e].tobytes() for s, e in zip(b.starts[at], b.ends[at], strict=True)])
 
 
+def _numbered(documents: DataFrame, ws: Workspace) -> tuple[DataFrame, DataFrame | None]:
+    """The documents with integer ids in the order of their own, and the table that names them; None if they are integers."""
+    if documents.schema["doc_id"].dataType.typeName() in ("byte", "short", "integer", "long"):
+        return documents.withColumn("doc_id", F.col("doc_id").cast("long")), None
+    ids = documents.select(F.col("doc_id").alias("own")).where("own is not null").distinct().orderBy("own")
+    ids = ws.put(ids.withColumn("number", F.monotonically_increasing_id()))
+    out = documents.join(ids, documents["doc_id"] == ids["own"], "left")
+    return out.select(*[(F.col("number").alias("doc_id") if c == "doc_id" else documents[c]) for c in documents.columns]), ids
+
+
 def factors(documents: DataFrame, window: int = WINDOW) -> DataFrame:
     """``doc_id, n_words, n_removed, kept_sha256, factors`` for every row.
 
     ``factors`` are the duplicate spans ``(start, length, source_id, source_start)``
     in words; each reads the same as the source from there on.
     """
-    parse = _parse(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), window)
+    ws = Workspace(documents.sparkSession, "substrings")
+    numbered, ids = _numbered(documents.select("doc_id", "text"), ws)
+    found = _factors(numbered, window)
+    if ids is None:
+        return found
+    found = ws.put(found.join(ids, found["doc_id"] == ids["number"], "left").drop("doc_id", "number").withColumnRenamed("own", "doc_id"))
+    found = found.withColumn("key", F.monotonically_increasing_id())
+    one = found.select("key", F.posexplode("factors").alias("i", "f")).join(ids, F.col("f.source_id") == ids["number"], "left")
+    named = F.struct("i", F.col("f.start").alias("start"), F.col("f.length").alias("length"), F.col("own").alias("source_id"), F.col("f.source_start").alias("source_start"))
+    listed = one.groupBy("key").agg(F.transform(F.array_sort(F.collect_list(named)), lambda f: f.dropFields("i")).alias("named"))
+    kind = listed.schema["named"].dataType.simpleString()
+    out = found.join(listed, "key", "left")
+    return out.select("doc_id", "n_words", "n_removed", "kept_sha256", F.coalesce("named", F.array().cast(kind)).alias("factors"))
+
+
+def _factors(documents: DataFrame, window: int) -> DataFrame:
+    parse = _parse(documents, window)
     spans = pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64()), ("source_id", pa.int64()), ("source_start", pa.int64())]))
     schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("factors", spans)])
     names = ("start", "length", "source_id", "source_start")
@@ -332,7 +364,8 @@ def deduplicated(documents: DataFrame, window: int = WINDOW) -> DataFrame:
 
     Texts that lose nothing stay as they are.
     """
-    docs, restored = sheltered(documents, ("doc_id", "text"))
+    plain, restored = sheltered(documents, ("doc_id", "text"))
+    docs, ids = _numbered(plain, Workspace(documents.sparkSession, "substrings"))
     columns = docs.columns
     parse = _parse(docs, window)
 
@@ -347,7 +380,10 @@ def deduplicated(documents: DataFrame, window: int = WINDOW) -> DataFrame:
                 texts[b.order[i]] = _kept_text(b, i, gone).decode()
         return t.set_column(columns.index("text"), "text", pa.array(texts, t.schema.field("text").type))
 
-    return restored(parse.parsed(parse.sources(parse.anchors()), finish, docs.schema))
+    out = parse.parsed(parse.sources(parse.anchors()), finish, docs.schema)
+    if ids is not None:
+        out = out.join(ids, out["doc_id"] == ids["number"], "left").drop("doc_id", "number").withColumnRenamed("own", "doc_id")
+    return restored(out)
 
 
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
