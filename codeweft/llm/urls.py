@@ -58,7 +58,7 @@ def node(url: Column) -> Column:
     return F.when(head != "", F.concat(F.translate(head, UPPER, LOWER), rest))
 
 
-_TAG = r"""(?i)(<(?:link|meta|base)\b(?:[^>"']+|"[^"]*"|'[^']*'){0,400}>)"""
+_TAG = r"""(?i)(<(?:link|meta|base)\b(?:[^>"']++|"[^"]*+"|'[^']*+'){0,400}+>)"""
 _ATTRIBUTE = r"""([^\s"'<>/=]+)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)"""
 _REFRESH = r"""(?is)^\s*[0-9.]*\s*[;,]?\s*url\s*=\s*(.*?)\s*$"""
 
