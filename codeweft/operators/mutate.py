@@ -6,7 +6,6 @@ Nothing is updated in place: a store commits what these return as a new snapshot
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from codeweft.operators.search import valid_edges
@@ -14,9 +13,10 @@ from codeweft.plans.model import EDGE_KEY, Graph
 
 
 def winners(symbols: DataFrame) -> DataFrame:
-    """One row for each id: of several the one last by (file, start_line, project)."""
-    last = W.partitionBy("id").orderBy(*[F.desc(c) for c in ("file", "start_line", "project_id", "end_line", "signature")])
-    return symbols.withColumn("_r", F.row_number().over(last)).where("_r = 1").drop("_r")
+    """One row for each id: of several the one last by (file, start_line, project); added up before the shuffle."""
+    key = F.struct("file", "start_line", "project_id", "end_line", "signature")
+    last = F.max_by(F.struct(*symbols.columns), key).alias("row")
+    return symbols.groupBy("id").agg(last).select(*[F.col(f"row.{c}").alias(c) for c in symbols.columns])
 
 
 def upsert_symbols(old: DataFrame, new: DataFrame) -> DataFrame:

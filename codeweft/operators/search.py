@@ -84,15 +84,15 @@ def orphan_edges(edges: DataFrame, symbols: DataFrame) -> DataFrame:
 
 def edges_from(edges: DataFrame, symbols: DataFrame, nodes: DataFrame) -> DataFrame:
     """Edges that leave the nodes for a symbol that exists."""
-    out = edges.join(F.broadcast(nodes.select(F.col("id").alias("from_id"))), "from_id", "left_semi")
+    out = edges.join(nodes.select(F.col("id").alias("from_id")), "from_id", "left_semi")
     return out.join(symbols.select(F.col("id").alias("to_id")), "to_id", "left_semi").select(*edges.columns)
 
 
 def edges_within(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Edges with both ends among the nodes (a page of at most 500)."""
+    """Edges with both ends among the nodes."""
     out = edges
     for end in ("from_id", "to_id"):
-        out = out.join(F.broadcast(nodes.select(F.col("id").alias(end))), end, "left_semi")
+        out = out.join(nodes.select(F.col("id").alias(end)), end, "left_semi")
     return out.select(*edges.columns)
 
 

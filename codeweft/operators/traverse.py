@@ -24,6 +24,8 @@ def reach(edges: DataFrame, seeds: DataFrame, depth: int, forward: bool, kind: s
     a, b = ("from_id", "to_id") if forward else ("to_id", "from_id")
     steps = edges.where(F.col("kind") == kind).select(F.col(a).alias("at"), F.col(b).alias("id")).distinct()
     ws = Workspace(edges.sparkSession, "reach")
+    if depth > 1:
+        steps = ws.put(steps)
     frontier = ws.put(seeds.select(F.col("id").alias("seed"), F.col("id").alias("at")).distinct())
     seen = None
     for _ in range(max(depth, 1)):

@@ -69,7 +69,7 @@ _add(
 )
 
 
-def _graph_page(s: SparkSession, d: str, kinds=("imports", "implements")) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _graph_page(s: SparkSession, d: str, kinds=("imports", "implements", "calls")) -> tuple[DataFrame, DataFrame, DataFrame]:
     every = t.symbols(s, d)
     return every, search.page(every, 1, 40, exclude_kind="class"), t.edges(s, d, kinds)
 
@@ -83,7 +83,7 @@ _NODES_SQL = "nodes AS (SELECT id FROM symbols WHERE kind <> 'class' ORDER BY na
 _add(
     "graph_page_edges",
     _graph_page_edges,
-    f"WITH {_NODES_SQL} SELECT DISTINCT from_id, to_id, kind FROM edges WHERE kind <> 'calls' AND from_id IN (SELECT id FROM nodes) "
+    f"WITH {_NODES_SQL} SELECT DISTINCT from_id, to_id, kind FROM edges WHERE from_id IN (SELECT id FROM nodes) "
     "AND EXISTS (SELECT 1 FROM symbols WHERE symbols.id = to_id)",
 )
 
@@ -103,14 +103,14 @@ _add(
 
 def _edges_induced(s: SparkSession, d: str) -> DataFrame:
     every = t.symbols(s, d)
-    return search.edges_within(t.edges(s, d, ("imports", "implements")), search.search(every, 400, kind="interface").union(every.where("kind in ('type', 'module')")))
+    return search.edges_within(t.edges(s, d), search.search(every, 400, kind="interface").union(every.where("kind in ('type', 'module')")))
 
 
 _add(
     "edges_induced",
     _edges_induced,
     "WITH nodes AS ((SELECT id FROM symbols WHERE kind = 'interface' ORDER BY name, id LIMIT 400) UNION ALL SELECT id FROM symbols WHERE kind IN ('type', 'module')) "
-    "SELECT from_id, to_id, kind, file, line FROM edges WHERE kind <> 'calls' AND from_id IN (SELECT id FROM nodes) AND to_id IN (SELECT id FROM nodes)",
+    "SELECT from_id, to_id, kind, file, line FROM edges WHERE from_id IN (SELECT id FROM nodes) AND to_id IN (SELECT id FROM nodes)",
 )
 _add(
     "graph_total_nodes",
@@ -254,10 +254,10 @@ _add("count_edges", lambda s, d: search.count_edges(t.edges(s, d)), "SELECT coun
 
 def _partly(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """Some symbols missing, so that edges dangle."""
-    return t.symbols(s, d).where("end_line % 3 <> 0"), t.edges(s, d, ("imports", "calls"))
+    return t.symbols(s, d).where("end_line % 3 <> 0"), t.edges(s, d)
 
 
-_PARTLY_SQL = "WITH present AS (SELECT * FROM symbols WHERE end_line % 3 <> 0), e AS (SELECT * FROM edges WHERE kind <> 'implements') "
+_PARTLY_SQL = "WITH present AS (SELECT * FROM symbols WHERE end_line % 3 <> 0), e AS (SELECT * FROM edges) "
 _BOTH = "from_id IN (SELECT id FROM present) AND to_id IN (SELECT id FROM present)"
 
 
@@ -284,7 +284,7 @@ _add(
     lambda s, d: search.project_stats(t.projects(s, d), t.symbols(s, d), t.edges(s, d), t.files(s, d)),
     "SELECT r_name AS project_id, (SELECT count(*) FROM symbols WHERE project_id = r_name) AS symbol_count, "
     "(SELECT count(*) FROM edges JOIN symbols ON id = from_id WHERE project_id = r_name) AS edge_count, "
-    "(SELECT count(*) FROM documents WHERE source = r_name) AS file_count FROM region",
+    "(SELECT count(*) FROM documents WHERE doc_id % 5 = r_regionkey) AS file_count FROM region",
 )
 
 # ---- mutations and change detection
@@ -313,19 +313,19 @@ def _upsert_symbols(s: SparkSession, d: str) -> DataFrame:
     every = t.symbols(s, d)
     new = every.where("kind = 'interface'").withColumn("name", F.concat("name", F.lit("!")))
     again = new.withColumns({"file": F.lit("a"), "name": F.lit("loses")})
-    return mutate.upsert_symbols(every.where("kind in ('type', 'interface') and start_line % 2 = 0"), new.union(again))
+    return mutate.upsert_symbols(every, new.union(again))
 
 
 _add(
     "upsert_symbols",
     _upsert_symbols,
-    "SELECT id, name, kind, file, start_line, end_line, signature, doc_comment, project_id FROM symbols WHERE kind = 'type' AND start_line % 2 = 0 "
+    "SELECT id, name, kind, file, start_line, end_line, signature, doc_comment, project_id FROM symbols WHERE kind <> 'interface' "
     "UNION ALL SELECT id, name || '!', kind, file, start_line, end_line, signature, doc_comment, project_id FROM symbols WHERE kind = 'interface'",
 )
 
 
 def _upsert_edges(s: SparkSession, d: str) -> DataFrame:
-    old = t.edges(s, d, ("imports",))
+    old = t.edges(s, d)
     new = old.where("from_id like '%7'")
     return mutate.upsert_edges(old, new.union(new))
 
@@ -333,13 +333,12 @@ def _upsert_edges(s: SparkSession, d: str) -> DataFrame:
 _add(
     "upsert_edges",
     _upsert_edges,
-    "SELECT from_id, to_id, kind, file, line FROM edges WHERE kind = 'imports' "
-    "UNION ALL SELECT from_id, to_id, kind, file, line FROM edges WHERE kind = 'imports' AND from_id LIKE '%7'",
+    "SELECT from_id, to_id, kind, file, line FROM edges UNION ALL SELECT from_id, to_id, kind, file, line FROM edges WHERE from_id LIKE '%7'",
 )
 
 
 def _deleted(s: SparkSession, d: str) -> Graph:
-    graph = Graph(t.projects(s, d), t.symbols(s, d), t.edges(s, d, ("imports",)), t.files(s, d))
+    graph = Graph(t.projects(s, d), t.symbols(s, d), t.edges(s, d), t.files(s, d))
     return mutate.delete_files(graph, s.createDataFrame([("customers/BUILDING",), ("nations/ASIA",), ("doc/5",)], "file string"))
 
 
@@ -348,8 +347,8 @@ _add("delete_by_file_symbols", lambda s, d: _deleted(s, d).symbols.select("id"),
 _add(
     "delete_by_file_edges",
     lambda s, d: _deleted(s, d).edges,
-    f"WITH gone AS (SELECT id FROM symbols WHERE file IN {_GONE}) SELECT from_id, to_id, kind, file, line FROM edges WHERE kind = 'imports' "
-    f"AND file NOT IN {_GONE} AND from_id NOT IN (SELECT id FROM gone) AND to_id NOT IN (SELECT id FROM gone)",
+    f"WITH gone AS (SELECT id FROM symbols WHERE file IN {_GONE}) SELECT from_id, to_id, kind, file, line FROM edges "
+    f"WHERE file NOT IN {_GONE} AND from_id NOT IN (SELECT id FROM gone) AND to_id NOT IN (SELECT id FROM gone)",
 )
 _add("delete_by_file_index", lambda s, d: _deleted(s, d).files.select("path"), "SELECT 'doc/' || doc_id AS path FROM documents WHERE doc_id <> 5", graph=False)
 
@@ -363,13 +362,18 @@ _add(
 
 
 def _flatten(s: SparkSession, d: str) -> DataFrame:
-    nations = t.read(s, d, "nation").where("n_regionkey < 3").groupBy("n_regionkey").agg(F.collect_list("n_name").alias("services"))
-    own = t.read(s, d, "region").join(nations, F.col("r_regionkey") == F.col("n_regionkey"), "left")
-    names = F.when(F.size("services") > 0, F.col("services")).otherwise(F.array("r_name"))
+    services = t.read(s, d, "supplier").groupBy("s_nationkey").agg(F.collect_list("s_name").alias("services"))
+    own = t.read(s, d, "nation").join(services, F.col("n_nationkey") == F.col("s_nationkey"), "left")
+    names = F.when(F.size("services") > 0, F.col("services")).otherwise(F.array("n_name"))
     return own.select(F.explode(names).alias("project"))
 
 
-_add("flatten_projects", _flatten, "SELECT n_name AS project FROM nation WHERE n_regionkey < 3 UNION ALL SELECT r_name FROM region WHERE r_regionkey >= 3", graph=False)
+_add(
+    "flatten_projects",
+    _flatten,
+    "SELECT s_name AS project FROM supplier UNION ALL SELECT n_name FROM nation WHERE n_nationkey NOT IN (SELECT s_nationkey FROM supplier)",
+    graph=False,
+)
 
 
 def _merge_excludes(s: SparkSession, d: str) -> DataFrame:

@@ -70,7 +70,7 @@ def edges(spark: SparkSession, sf_dir: str, kinds: tuple[str, ...] = ("imports",
     if "implements" in kinds:
         edge(lines, _node("part", "l_partkey"), _node("supplier", "l_suppkey"), "implements", "lineitem")
     if "calls" in kinds:
-        big = lines.where("l_quantity > 40").select("l_orderkey", "l_linenumber", "l_partkey")
+        big = lines.select("l_orderkey", "l_linenumber", "l_partkey")
         after = big.select("l_orderkey", (F.col("l_linenumber") - 1).alias("l_linenumber"), F.col("l_partkey").alias("next"))
         edge(big.join(after, ["l_orderkey", "l_linenumber"]), _node("part", "l_partkey"), _node("part", "next"), "calls", "lineitem")
     result = out[0]
@@ -86,13 +86,14 @@ def projects(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as indexed files: hash of the text; project by language."""
-    docs = read(spark, sf_dir, "documents")
+    """Documents as indexed files: hash of the text; projects take turns by id."""
+    region = read(spark, sf_dir, "region")
+    docs = read(spark, sf_dir, "documents").join(region, F.pmod("doc_id", F.lit(5)) == region["r_regionkey"], "left")
     return docs.select(
         F.concat(F.lit("doc/"), F.col("doc_id").cast("string")).alias("path"),
         F.sha2("text", 256).alias("hash"),
         F.lit(None).cast("timestamp").alias("mod_time"),
-        F.col("source").alias("project_id"),
+        F.col("r_name").alias("project_id"),
     )
 
 
@@ -140,7 +141,7 @@ symbols AS (
   UNION ALL SELECT 'part:' || p_partkey, p_name, 'function', 'parts/' || p_brand, {_P.format('p_partkey')}, p_name || '(' || p_type || ')', NULL, p_brand
     FROM part
 ),
-big AS (SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem WHERE l_quantity > 40),
+big AS (SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem),
 pairs AS (
   SELECT 'nation:' || n_nationkey AS from_id, 'region:' || n_regionkey AS to_id, 'imports' AS kind, 'nations' AS file FROM nation
   UNION SELECT 'customer:' || c_custkey, 'nation:' || c_nationkey, 'imports', 'customers' FROM customer
