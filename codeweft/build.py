@@ -1,6 +1,7 @@
 """Build and update: scan, find what changed, extract that, commit a snapshot.
 
-Rows are kept by file, so a changed or deleted file takes exactly its own rows
+Trees are listed without contents; only files that are new or whose time differs from
+the index are read and hashed. Rows are kept by file, so a changed or deleted file takes exactly its own rows
 with it; what several files share (module nodes) and which edges dangle follows
 from all rows at commit. An update thus gives the rows that a build would.
 """
@@ -12,6 +13,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,10 +21,11 @@ from codeweft.operators import mutate
 from codeweft.plans.model import EDGES, PROJECTS, SYMBOLS
 from codeweft.sources import config
 from codeweft.sources.extract import extensions, extract
-from codeweft.sources.scan import SCHEMA, read_tree
+from codeweft.sources.scan import read_tree
 from codeweft.sources.scratch import Workspace as Scratch
 from codeweft.sources.store import Store
 
+_LISTED = "path string, project_id string, mod_time timestamp"
 _ROW = f"rec string, error string, {SYMBOLS}, from_id string, to_id string, line bigint"
 
 
@@ -61,25 +64,48 @@ def extract_files(files: DataFrame) -> DataFrame:
 
 
 def scan(spark: SparkSession, workspace: config.Workspace, root: str) -> DataFrame:
-    """All source files of all projects; a file of several projects belongs to the last."""
+    """All source files of all projects, unread; a file of several projects belongs to the last."""
     trees = None
     for i, p in enumerate(config.flatten(workspace.projects)):
         if not config.contained(root, p.path):
             raise config.ConfigError(f"project {p.name!r}: {p.path} is outside the workspace")
         at = os.path.normpath(os.path.join(root, p.path))
-        tree = read_tree(spark, at, p.name, config.merge_excludes(p.exclude), extensions()).withColumn("nth", F.lit(i))
+        tree = read_tree(spark, at, p.name, config.merge_excludes(p.exclude), extensions(), contents=False).withColumn("nth", F.lit(i))
         trees = tree if trees is None else trees.union(tree)
     if trees is None:
-        return spark.createDataFrame([], f"{SCHEMA}, hash string")
-    last = trees.groupBy("path").agg(F.max("nth").alias("nth"))
-    return trees.join(last, ["path", "nth"], "left_semi").select("path", "project_id", "mod_time", "content", mutate.content_hash(F.col("content")).alias("hash"))
+        return spark.createDataFrame([], _LISTED)
+    last = trees.groupBy("path").agg(F.max_by(F.struct("project_id", "mod_time"), "nth").alias("file"))
+    return last.select("path", "file.project_id", "file.mod_time")
+
+
+def opened(files: DataFrame) -> DataFrame:
+    """The listed files with content and hash; one that can't be read any more is left out. Executors must share the file system."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, path in enumerate(batch.column("path").to_pylist()):  # one file at a time in memory
+                try:
+                    with open(path, "rb") as f:
+                        content = f.read()
+                except OSError:
+                    continue
+                row = batch.slice(i, 1)
+                yield pa.RecordBatch.from_arrays([*row.columns, pa.array([content], pa.binary())], [*row.schema.names, "content"])
+
+    read = files.select("path", "project_id", "mod_time").mapInArrow(run, f"{_LISTED}, content binary")
+    return read.withColumn("hash", mutate.content_hash(F.col("content")))
 
 
 def run(spark: SparkSession, store: Store, workspace: config.Workspace, root: str) -> Summary:
-    """Bring the store up to the source trees: nothing is extracted, or written, that hasn't changed."""
-    scratch = Scratch(spark, "build")
+    """Bring the store up to the source trees; a file whose time is the index's is taken as unchanged, unread."""
+    scratch, tasks = Scratch(spark, "build"), max(1, spark.sparkContext.defaultParallelism * 4)
     files = scratch.put(scan(spark, workspace, root))
     index = store.table("files")
+    due = mutate.unread(files, index)
+    read = scratch.put(opened(due.repartition(tasks)))
+    known = files.join(due.select("path"), "path", "left_anti").join(index.select("path", "hash"), "path")
+    columns = ["path", "hash", "mod_time", "project_id"]
+    files = scratch.put(known.select(*columns).union(read.select(*columns)))
     changes = scratch.put(mutate.changes(index, files))
     out = Summary(**{r.change: r.n for r in changes.groupBy("change").agg(F.count("*").alias("n")).collect()})
     out.unchanged = files.count() - out.added - out.modified
@@ -90,7 +116,7 @@ def run(spark: SparkSession, store: Store, workspace: config.Workspace, root: st
         out.symbols, out.edges = old_symbols, old_edges
         return out
     fresh = changes.where("change <> 'deleted'").select("path")
-    work = files.join(fresh, "path", "left_semi").repartition(max(1, spark.sparkContext.defaultParallelism * 4))
+    work = read.join(fresh, "path", "left_semi").repartition(tasks)
     rows = scratch.put(extract_files(work))
     gone = changes.where("change <> 'added'").select(F.col("path").alias("file"))
 
@@ -101,8 +127,7 @@ def run(spark: SparkSession, store: Store, workspace: config.Workspace, root: st
 
     symbols = renewed("raw_symbols", "symbol", SYMBOLS)
     edges = renewed("raw_edges", "edge", EDGES)
-    listed = files.select("path", "hash", "mod_time", "project_id")
-    store.commit(mutate.upsert_projects(store.table("projects"), projects), symbols, edges, listed)
+    store.commit(mutate.upsert_projects(store.table("projects"), projects), symbols, edges, files)
     out.errors = rows.where("rec = 'error'").count()
     out.symbols, out.edges = store.table("symbols").count(), store.table("edges").count()
     out.pruned = store.table("raw_edges").count() - out.edges

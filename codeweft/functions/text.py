@@ -47,3 +47,8 @@ def contains(column: Column, part: str) -> Column:
     pattern = f"%{part.translate(fold_ascii)}%"
     text = F.translate(column, UPPER, LOWER)
     return F.like(text, F.lit(pattern), F.lit("\u0001"))
+
+
+def shortened(text: Column, length: int) -> Column:
+    """The text, or its first ``length - 1`` characters and an ellipsis if it is longer than ``length``; null stays null."""
+    return F.when(F.char_length(text) > length, F.concat(F.substring(text, 1, length - 1), F.lit("\u2026"))).otherwise(text)

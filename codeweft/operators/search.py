@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codeweft.functions.text import contains
+from codeweft.functions.text import contains, shortened
 
 DEFAULT_LIMIT = 100
 
@@ -101,6 +101,32 @@ def display_edges(edges: DataFrame) -> DataFrame:
     return edges.select("from_id", "to_id", "kind").distinct()
 
 
+def with_ghosts(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """``(id, name, kind, ghost)``: the nodes, and one ghost of kind unknown for each link's target that isn't among them.
+
+    A ghost is named by the first eight characters of its id. Links without a target give none.
+    """
+    have = nodes.select("id", "name", "kind", F.lit(False).alias("ghost"))
+    absent = links.where("to_id is not null").select(F.col("to_id").alias("id")).distinct().join(have.select("id"), "id", "left_anti")
+    return have.union(absent.select("id", F.substring("id", 1, 8).alias("name"), F.lit("unknown").alias("kind"), F.lit(True).alias("ghost")))
+
+
+def drawn_links(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """Links that can be drawn among the nodes and their ghosts: those whose source is a node or a ghost."""
+    return edges_within(links, with_ghosts(nodes, links))
+
+
+def labelled(nodes: DataFrame, length: int = 18) -> DataFrame:
+    """Nodes with a ``label`` of at most ``length`` characters."""
+    return nodes.withColumn("label", shortened(F.col("name"), length))
+
+
+def highlighted(links: DataFrame, symbol_id: str) -> DataFrame:
+    """All links, and whether they touch the symbol; an absent end doesn't."""
+    touches = F.col("from_id").eqNullSafe(symbol_id) | F.col("to_id").eqNullSafe(symbol_id)
+    return links.withColumn("highlighted", touches)
+
+
 def project_stats(projects: DataFrame, symbols: DataFrame, edges: DataFrame, files: DataFrame) -> DataFrame:
     """Symbols, edges by the project of their source, and files of each registered project; 0 where there are none."""
     per = lambda df, name: df.groupBy("project_id").agg(F.count("*").alias(name))

@@ -118,6 +118,38 @@ _add(
     "SELECT count(*) AS n FROM symbols WHERE kind <> 'module'",
 )
 
+
+# ---- what a view of a page draws
+
+
+def _drawn(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """All symbols but functions as the page, and all links, so that some lead off it."""
+    return t.symbols(s, d).where("kind <> 'function'"), search.display_edges(t.edges(s, d))
+
+
+_DRAWN_SQL = "WITH shown AS (SELECT * FROM symbols WHERE kind <> 'function'), links AS (SELECT DISTINCT from_id, to_id, kind FROM edges) "
+_add(
+    "graph_ghost_nodes",
+    lambda s, d: search.with_ghosts(*_drawn(s, d)),
+    f"{_DRAWN_SQL}SELECT id, name, kind, false AS ghost FROM shown UNION ALL SELECT DISTINCT to_id, substr(to_id, 1, 8), 'unknown', true FROM links "
+    "WHERE NOT EXISTS (SELECT 1 FROM shown WHERE shown.id = to_id)",
+)
+_add(
+    "graph_valid_links",
+    lambda s, d: search.drawn_links(*_drawn(s, d)),
+    f"{_DRAWN_SQL}SELECT from_id, to_id, kind FROM links WHERE from_id IN (SELECT id FROM shown UNION SELECT to_id FROM links)",
+)
+_add(
+    "graph_labels",
+    lambda s, d: search.labelled(t.symbols(s, d)).select("id", "label"),
+    "SELECT id, CASE WHEN length(name) > 18 THEN substr(name, 1, 17) || '\u2026' ELSE name END AS label FROM symbols",
+)
+_add(
+    "graph_highlight",
+    lambda s, d: search.highlighted(search.display_edges(t.edges(s, d)), "supplier:7"),
+    "SELECT DISTINCT from_id, to_id, kind, from_id = 'supplier:7' OR to_id = 'supplier:7' AS highlighted FROM edges",
+)
+
 # ---- traversal
 
 

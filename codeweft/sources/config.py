@@ -67,35 +67,39 @@ def load(start: str) -> tuple[Workspace, str]:
             raise ConfigError(f"{path}: {e}") from e
     if not isinstance(raw, dict):
         raise ConfigError(f"{path}: not an object")
-    ws, root = Workspace(raw.get("name") or "", [_project(p) for p in raw.get("projects") or []]), os.path.dirname(path)
-    validate(ws)
-    kept = []
-    for p in ws.projects:
-        if os.path.exists(os.path.join(root, p.path)):
-            kept.append(p)
-        else:
-            logging.warning("project %s: no such path: %s", p.name, p.path)
-        for s in p.services:
-            for problem in _problems(s):
-                logging.warning("service %s of %s: %s", s.name, p.name, problem)
-    return Workspace(ws.name, kept), root
+    root = os.path.dirname(path)
+    return validate(Workspace(raw.get("name") or "", [_project(p) for p in raw.get("projects") or []]), root), root
 
 
-def _problems(p: Project) -> list[str]:
-    out = [] if p.name else ["name is empty"]
-    out += [] if p.path else ["path is empty"]
-    return out + ([] if p.language in LANGUAGES else [f"unknown language {p.language!r}"])
+def _sound(p: Project, root: str) -> bool:
+    """Whether the project's path exists; an empty one is the root. Raises for an empty name or an unknown language."""
+    if not p.name:
+        raise ConfigError("a project's or service's name is empty")
+    if p.language not in LANGUAGES:
+        raise ConfigError(f"project {p.name!r}: unknown language {p.language!r}")
+    return os.path.exists(os.path.join(root, p.path))
 
 
-def validate(ws: Workspace) -> None:
-    """Names, paths and languages of projects; services are one level deep and otherwise only warned about."""
+def validate(ws: Workspace, root: str = ".") -> Workspace:
+    """The workspace without the projects whose path is missing, which are warned about.
+
+    Services are checked like projects where their project's path exists, and are one
+    level deep; a service whose path is missing is warned about and stays.
+    """
     if not ws.name:
         raise ConfigError("workspace name is empty")
+    kept = []
     for p in ws.projects:
-        if problems := _problems(p):
-            raise ConfigError(f"project {p.name!r}: {problems[0]}")
-        if any(s.services for s in p.services):
-            raise ConfigError(f"project {p.name!r}: services can't have services")
+        if not _sound(p, root):
+            logging.warning("project %s: no such path: %s", p.name, p.path)
+            continue
+        for s in p.services:
+            if not _sound(s, root):
+                logging.warning("service %s of %s: no such path: %s", s.name, p.name, s.path)
+            elif s.services:
+                raise ConfigError(f"project {s.name!r}: services can't have services")
+        kept.append(p)
+    return Workspace(ws.name, kept)
 
 
 def save(ws: Workspace, folder: str) -> str:

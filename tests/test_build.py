@@ -63,6 +63,14 @@ def test_config(tree, tmp_path):
     (tree / config.CONFIG_NAME).write_text("{")
     with pytest.raises(config.ConfigError):
         config.load(str(tree))
+    part = lambda name, path, language="go", inner=(): config.Project(name, path, language, services=list(inner))
+    wrong = (part("", "svc"), part("s", "svc", "cobol"), part("s", "svc", inner=[part("t", "web")]), part("", "nowhere"))
+    for service in wrong:
+        with pytest.raises(config.ConfigError):
+            config.validate(config.Workspace("w", [part("p", "svc", inner=[service])]), str(tree))
+        assert config.validate(config.Workspace("w", [part("p", "nowhere", inner=[service])]), str(tree)).projects == []
+    fine = [part("root", ""), part("p", "svc", inner=[part("s", "nowhere", inner=[part("t", "x")]), part("u", "web")])]
+    assert config.validate(config.Workspace("w", fine), str(tree)).projects == fine
     assert config.contained(str(tree), "svc/../web") and not config.contained(str(tree), "../x")
     outer = config.Project("o", "o", "go", services=[config.Project("i", "i", "go")])
     assert [p.name for p in config.flatten([outer])] == ["i"]
@@ -87,6 +95,13 @@ def test_build_update_and_services(spark, tree, tmp_path, built):
     again = build.run(spark, store, ws, str(tree))
     assert (again.added, again.modified, again.deleted, again.unchanged, store.version()) == (0, 0, 0, 4, 1)
 
+    when = (tree / "svc/a.go").stat().st_mtime
+    (tree / "svc/a.go").write_text("package a\n")  # a file of the same time isn't read
+    os.utime(tree / "svc/a.go", (when, when))
+    os.utime(tree / "svc/b.go", (when + 9, when + 9))  # one of another time is, and its hash decides
+    again = build.run(spark, store, ws, str(tree))
+    assert (again.added, again.modified, again.deleted, again.unchanged, store.version()) == (0, 0, 0, 4, 1)
+
     (tree / "svc/a.go").write_text("package a\n\nfunc Pay() { fresh() }\n\nfunc fresh() {}\n")
     (tree / "svc/b.go").unlink()
     (tree / "web/y.js").write_text("function three() {}\n")

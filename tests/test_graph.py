@@ -29,6 +29,19 @@ def ids(df):
     return sorted(r.id for r in df.select("id").collect())
 
 
+def test_view(spark):
+    nodes = symbols(spark, ["A", "a name of over eighteen", "eighteen letters x"])
+    pairs = [("A", "0123456789"), ("A", "0123456789"), ("gone", "A"), ("0123456789", "A"), ("A", None)]
+    links = edges(spark, pairs)
+    ghosts = [tuple(r) for r in search.with_ghosts(nodes, links).where("ghost").collect()]
+    assert ghosts == [("0123456789", "01234567", "unknown", True)]
+    assert sorted((r.from_id, r.to_id) for r in search.drawn_links(nodes, links).collect()) == [("0123456789", "A"), ("A", "0123456789"), ("A", "0123456789")]
+    assert sorted(r.label for r in search.labelled(nodes).collect()) == ["A", "a name of over ei\u2026", "eighteen letters x"]
+    lit = {(r.from_id, r.to_id): r.highlighted for r in search.highlighted(links, "0123456789").collect()}
+    assert [lit[p] for p in dict.fromkeys(pairs)] == [True, False, True, False]
+    assert search.with_ghosts(nodes.limit(0), links.limit(0)).count() == 0
+
+
 def test_chain_cycle_diamond(spark):
     s = symbols(spark, "ABCD")
     chain = edges(spark, ["AB", "BC"])
