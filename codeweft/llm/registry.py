@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from codeweft.llm import chat, decontam, licenses, neardup, packing, pii, quality, substrings, tokens, urls
+from codeweft.llm import chat, decontam, licenses, manifest, neardup, packing, pii, quality, substrings, tokens, urls
 
 QUERIES = {
     "op1_pii": pii.op1_pii,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_minhash_neardup": neardup.op8_minhash_neardup,
     "op9_license_scan": licenses.op9_license_scan,
     "op10_url_filter": urls.op10_url_filter,
+    "op13_merkle_manifest": manifest.op13_merkle_manifest,
 }
 
 ORACLES = {
@@ -24,4 +25,5 @@ ORACLES = {
     "op6_chat_format": chat.OP6_SQL,
     "op8_minhash_neardup": neardup.OP8_SQL,
     "op9_license_scan": licenses.OP9_SQL,
+    "op13_merkle_manifest": manifest.OP13_SQL,
 }
