@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from codeweft.llm import chat, decontam, licenses, manifest, neardup, packing, pii, quality, substrings, tokens, urls
+from codeweft.llm import chat, decontam, langid, licenses, manifest, neardup, packing, periods, pii, quality, substrings, tokens, urls
 
 QUERIES = {
     "op1_pii": pii.op1_pii,
@@ -15,6 +15,8 @@ QUERIES = {
     "op8_minhash_neardup": neardup.op8_minhash_neardup,
     "op9_license_scan": licenses.op9_license_scan,
     "op10_url_filter": urls.op10_url_filter,
+    "op11_periodic_runs": periods.op11_periodic_runs,
+    "op12_language_id": langid.op12_language_id,
     "op13_merkle_manifest": manifest.op13_merkle_manifest,
 }
 
