@@ -187,7 +187,9 @@ def candidates(hashes: np.ndarray, first: np.ndarray) -> list[tuple[int, int]]:
         if good.all():
             break
         at, part = at[good], part[good]
-    starts = np.flatnonzero(np.diff(part, prepend=-1)) if len(at) else np.zeros(0, np.int64)
+    if not len(at):
+        return []
+    starts = np.flatnonzero(np.diff(part, prepend=-1))
     stops = np.append(starts[1:], len(at))
     return [(int(at[a]), int(at[b - 1]) + GRAM) for a, b in zip(starts, stops, strict=True)]
 
