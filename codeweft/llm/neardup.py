@@ -18,7 +18,8 @@ Defined cases: a text without words, or null, has no shingles and links with
 nothing; fewer words than a shingle are one shingle, the whole sequence; rows that
 repeat an id are documents of their own with that id; a null id is never the
 smallest unless its component has no other; an empty table
-gives an empty result; extra columns are ignored by classes and kept by keep_first.
+gives an empty result; texts of any length are taken whole; of copies of the same
+similarity none is preferred; extra columns are ignored by classes and kept by keep_first.
 """
 
 from __future__ import annotations
@@ -298,41 +299,56 @@ def row_key() -> Column:
 
 
 def classes(documents: DataFrame, width: int = 4, percent: int = 80, miss: float = MISS) -> DataFrame:
-    """``doc_id, n_shingles, component_id, kept, row_key`` for every row."""
+    """``doc_id, n_shingles, component_id, kept, row_key, rep_key`` for every row; ``rep_key`` is the key of the class's first row."""
     spark = documents.sparkSession
     ws = Workspace(spark, "neardup")
     docs = documents.select("doc_id", "text")
     kind = docs.schema["doc_id"].dataType.simpleString()
     keyed = docs.select("doc_id", "text", row_key())
     rows = ws.put(keyed.mapInArrow(_sketched(width, percent), f"doc_id {kind}, row_key long, n_shingles long, set binary, sig binary"))
-    reps = rows.where("set is not null").groupBy("set").agg(
-        F.min("doc_id").alias("rep_id"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig")
-    )
-    reps = ws.put(reps.withColumn("rid", F.monotonically_increasing_id()))
+    # the row that stands for a set, and later for a class: a null id only where there is no other
+    rep = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row_key")).alias("rep")
+    reps = rows.where("set is not null").groupBy("set").agg(rep, F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig"))
+    reps = ws.put(reps.withColumn("rep_id", F.col("rep.doc_id")).withColumn("rid", F.monotonically_increasing_id()))
     labels = link_sets(docs, reps, ws, width, percent, miss)
-    named = reps.select("set", "rid", "rep_id")
+    named = reps.select("set", "rid", "rep")
     if labels is None:
-        member = named.select("set", F.col("rep_id").alias("component"))
+        member = named.select("set", "rep")
     else:
         named = named.join(labels, named["rid"] == labels["id"], "left").withColumn("label", F.coalesce("component", "rid"))
-        named = named.select("set", "rep_id", "label")
-        least = named.groupBy("label").agg(F.min("rep_id").alias("component"))
-        member = named.join(least, "label").select("set", "component")
+        named = named.select("set", "rep", "label")
+        least = named.groupBy("label").agg(F.min("rep").alias("rep"))
+        member = named.drop("rep").join(least, "label").select("set", "rep")
     out = rows.select("doc_id", "row_key", "n_shingles", "set").join(member, "set", "left")
-    component = F.when(F.col("set").isNull(), F.col("doc_id")).otherwise(F.col("component"))
-    out = out.select("doc_id", "n_shingles", component.alias("component_id"), "row_key")
-    return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "row_key")
+    alone = F.col("set").isNull()
+    component = F.when(alone, F.col("doc_id")).otherwise(F.col("rep.doc_id"))
+    first = F.when(alone, F.col("row_key")).otherwise(F.col("rep.row_key"))
+    out = out.select("doc_id", "n_shingles", component.alias("component_id"), "row_key", first.alias("rep_key"))
+    kept = F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept")
+    return out.select("doc_id", "n_shingles", "component_id", kept, "row_key", "rep_key")
 
 
 def keep_first(documents: DataFrame, width: int = 5, percent: int = 80, miss: float = MISS) -> DataFrame:
-    """The documents without those that a document of a smaller id of their class stands for."""
+    """One row of each class: that of the smallest id, of several the first by key; rows without words are classes of their own.
+
+    Rows that repeat both id and text are one key; one of them stays.
+    """
     docs, restored = sheltered(documents, ("doc_id", "text"))
-    gone = classes(docs, width, percent, miss).where("not kept").select(F.col("row_key").alias("_gone")).distinct()
-    return restored(docs.join(gone, row_key() == gone["_gone"], "left_anti"))
+    ws = Workspace(documents.sparkSession, "keep")
+    found = ws.put(classes(docs, width, percent, miss).select("row_key", "rep_key", "n_shingles"))
+    gone = found.where("row_key <> rep_key").select(F.col("row_key").alias("_gone")).distinct()
+    out = docs.withColumn("_key", row_key())
+    out = out.join(gone, out["_key"] == gone["_gone"], "left_anti")
+    repeated = found.where("row_key = rep_key and n_shingles > 0").groupBy("row_key").agg(F.count("*").alias("n")).where("n > 1")
+    repeated = ws.put(repeated.select(F.col("row_key").alias("_key")))
+    if not repeated.isEmpty():
+        again = out.join(repeated, "_key", "left_semi").groupBy("_key").agg(F.first(F.struct(*docs.columns)).alias("row"))
+        out = out.join(repeated, "_key", "left_anti").select(*docs.columns).union(again.select("row.*"))
+    return restored(out)
 
 
 def op8_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return classes(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("row_key")
+    return classes(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("row_key", "rep_key")
 
 
 _WORDS8 = "list_filter(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '')"

@@ -260,14 +260,14 @@ class HashArray:
     def __init__(self, keys: np.ndarray, values: np.ndarray):
         h = wd.mix(keys.view(wd.U))
         order = np.argsort(h)
-        self.h, self.values = h[order], values[order].astype(np.float32)
+        self.h, self.values = h[order], values[order]
         self.bits = max(1, int(len(keys)).bit_length())
         top = self.h >> wd.U(64 - self.bits)
         self.start = np.searchsorted(top, np.arange((1 << self.bits) + 1, dtype=wd.U)).astype(np.int32)
 
     def get(self, keys: np.ndarray) -> np.ndarray:
         """Values, NaN for keys that aren't there."""
-        out = np.full(len(keys), np.nan, np.float32)
+        out = np.full(len(keys), np.nan, self.values.dtype)
         if not len(self.h):
             return out
         h = wd.mix(keys.view(wd.U))
@@ -411,7 +411,7 @@ def _score_joined(documents: DataFrame, model: dict[str, DataFrame], keep: list[
         out = []
         if t.num_rows:
             codes, logp = (known.column(c).to_numpy() for c in ("full", "logp"))
-            at = HashArray(codes.astype(np.int64), logp.astype(np.float32))
+            at = HashArray(codes.astype(np.int64), logp)
             for b in t.combine_chunks().to_batches():
                 out.append(_scored_batch(b, keep, _mean_logs(b, at.get)))
         return pa.Table.from_batches(out, out[0].schema) if out else t.select(keep)

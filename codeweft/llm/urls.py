@@ -10,8 +10,7 @@ scheme, host, path or query, with dot segments removed. The first value of an
 attribute counts, quoted or not; ``&amp;`` and its numeric forms stand for ``&``.
 
 Defined cases: a null url, or one without ``://``, has empty host and path and no
-aliases; null html has no links, html of any length is read whole (of one tag the
-first 200 attributes); a link without a target, to a fragment or to a scheme without
+aliases; null html has no links, html and tags of any length are read whole; a link without a target, to a fragment or to a scheme without
 ``://`` is no link; of rules that fit, the longest wins, and of the same rule stated
 twice ``allow``; repeated pages, and pages that share an id, each get their own answer;
 an empty table gives an empty result; extra columns of ``pages``, whatever their names,
@@ -58,7 +57,7 @@ def node(url: Column) -> Column:
     return F.when(head != "", F.concat(F.translate(head, UPPER, LOWER), rest))
 
 
-_TAG = r"""(?i)(<(?:link|meta|base)\b(?:[^>"']++|"[^"]*+"|'[^']*+'){0,400}+>)"""
+_TAG = r"""(?i)(<(?:link|meta|base)\b(?:[^>"']++|"[^"]*+"|'[^']*+')*+>)"""
 _ATTRIBUTE = r"""([^\s"'<>/=]+)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)"""
 _REFRESH = r"""(?is)^\s*[0-9.]*\s*[;,]?\s*url\s*=\s*(.*?)\s*$"""
 
@@ -112,16 +111,24 @@ def resolve(base: Column, ref: Column) -> Column:
 def page_links(pages: DataFrame) -> DataFrame:
     """``(a, b)`` nodes that pages declare to be the same: canonical links and refresh redirects."""
     tags = F.regexp_extract_all("html", F.lit(_TAG), 1)
-    found = pages.select("url", F.filter(tags, lambda t: t.rlike("(?i)canonical|refresh|^<base")).alias("tags")).where("size(tags) > 0")
+    found = pages.select("url", _once(F.filter(tags, lambda t: t.rlike("(?i)canonical|refresh|^<base")).alias("tags"))).where("size(tags) > 0")
     bases = F.filter(F.transform(F.filter("tags", lambda t: t.rlike("(?i)^<base")), lambda t: _attribute(t, "href")), lambda h: h.isNotNull())
-    found = found.select("url", F.get(bases, 0).alias("base"), F.explode("tags").alias("tag"))
-    found = found.select("url", F.coalesce(resolve(F.col("url"), _plain(F.col("base"))), F.col("url")).alias("from"), "tag")
+    found = found.select("url", "tags", _once(_plain(F.get(bases, 0)).alias("base")))
+    found = found.select("url", "tags", _once(F.coalesce(resolve(F.col("url"), F.col("base")), F.col("url")).alias("from")))
+    found = found.select("url", "from", F.explode("tags").alias("tag"))
     tag = F.col("tag")
     canonical = tag.rlike("(?i)^<link") & F.array_contains(F.split(F.lower(_attribute(tag, "rel")), r"\s+"), "canonical")
     refresh = tag.rlike("(?i)^<meta") & (F.lower(_attribute(tag, "http-equiv")) == "refresh")
-    to = F.when(canonical, _attribute(tag, "href")).when(refresh, _target(_attribute(tag, "content")))
-    named = found.select("url", resolve(F.col("from"), _plain(to)).alias("to"))
-    return named.select(node(F.col("url")).alias("a"), node(F.col("to")).alias("b")).where("a <> b")
+    to = F.when(canonical, _attribute(tag, "href")).when(refresh, _attribute(tag, "content"))
+    named = found.select("url", "from", _once(to.alias("to"), refresh.alias("refresh")))
+    named = named.select("url", "from", _once(_plain(F.when(F.col("refresh"), _target(F.col("to"))).otherwise(F.col("to"))).alias("to")))
+    named = named.select("url", _once(resolve(F.col("from"), F.col("to")).alias("to")))
+    return named.select(_once(node(F.col("url")).alias("a"), node(F.col("to")).alias("b"))).where("a <> b")
+
+
+def _once(*values: Column) -> Column:
+    """Columns that later expressions take as they are: neither projections nor filters are merged across a generator."""
+    return F.inline(F.array(F.struct(*values)))
 
 
 def _plain(ref: Column) -> Column:

@@ -86,8 +86,24 @@ def test_classes(docs, rows, nothing):
     got = Counter((r.doc_id, r.n_shingles, r.component_id) for r in neardup.classes(docs).collect())
     assert got == Counter(plain_classes(rows, 4))
     assert neardup.classes(nothing).count() == 0 and neardup.keep_first(nothing).columns == nothing.columns
-    want = Counter(i for i, _, c in plain_classes(rows, 5) if i == c)
-    assert Counter(r.doc_id for r in neardup.keep_first(docs).collect()) == want
+    kept, plain = neardup.keep_first(docs).collect(), plain_classes(rows, 5)
+    alone = [i for i, n, _ in plain if not n]
+    named = {c for _, n, c in plain if n and c is not None}
+    assert Counter(r.doc_id for r in kept if r.doc_id is not None) == Counter([*named, *filter(None, alone)])
+
+
+def test_one_row_of_each_class_stays(spark):
+    """Also of copies without an id, and of rows that repeat both id and text."""
+    rnd = random.Random(9)
+    base = words(rnd, 60, 5000).split()
+    near = " ".join([*base[:-1], "other"])
+    text, odd = " ".join(base), words(rnd, 40, 5000)
+    rows = [(None, text), (None, text), (None, near), (3, odd), (3, odd), (3, odd), (None, ""), (None, ""), (4, None)]
+    assert Counter((r.doc_id, r.text in (text, near)) for r in neardup.keep_first(make(spark, rows)).collect()) == Counter(
+        [(None, True), (3, False), (None, False), (None, False), (4, False)]
+    )
+    named = neardup.keep_first(make(spark, [*rows, (9, near), (9, text)])).collect()
+    assert [r.doc_id for r in named if r.text in (text, near)] == [9]
 
 
 @pytest.mark.parametrize("blocks", [500_000, 3_000])
@@ -352,6 +368,13 @@ def test_urls(spark, nothing):
     assert urls.filter_urls(pages.where("false")).count() == 0
 
 
+def test_tags_with_very_many_attributes(spark):
+    many = " ".join(f'data-a{i}="{i}"' for i in range(3000))
+    first, last = f'<link rel=canonical href="http://x.org/a" {many}>', f'<link {many} rel="canonical" href=http://x.org/a>'
+    pages = spark.createDataFrame([(1, "http://b.org/1", first), (2, "http://b.org/2", last)], "page_id long, url string, html string")
+    assert {tuple(r) for r in urls.page_links(pages).collect()} == {("http://b.org/1", "http://x.org/a"), ("http://b.org/2", "http://x.org/a")}
+
+
 def test_links_of_every_form(spark):
     link = '<LINK href="{}" rel="canonical">'
     blocked = {1, 2, 3, 4, 5, 6, 7, 15}

@@ -433,10 +433,10 @@ def test_perplexity_and_both_ways_of_scoring(spark, docs, rows, monkeypatch):
     # Another corpus, so that n-grams are missing, and a model beyond the bound.
     ws = Workspace(spark, "t")
     model = quality.fit(docs.where("doc_id < 15"), ws)
-    held = sorted((r.doc_id or -1, round(r.log_ppl or 0, 4)) for r in quality.score(docs, model, ["doc_id"], ws).collect())
+    held = sorted((r.doc_id or -1, round(r.log_ppl or 0, 11)) for r in quality.score(docs, model, ["doc_id"], ws).collect())
     monkeypatch.setattr(quality, "BROADCAST_ENTRIES", 0)
     monkeypatch.setattr(quality, "CHUNK_BYTES", 1000)
-    joined = sorted((r.doc_id or -1, round(r.log_ppl or 0, 4)) for r in quality.score(docs, model, ["doc_id"], ws).collect())
+    joined = sorted((r.doc_id or -1, round(r.log_ppl or 0, 11)) for r in quality.score(docs, model, ["doc_id"], ws).collect())
     assert held == joined
 
 
