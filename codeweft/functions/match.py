@@ -1,4 +1,4 @@
-"""The full-text match language: parsed on the driver, compiled to one Column over token arrays.
+"""The full-text match language: parsed on the driver, compiled to one Column over the positions of its tokens.
 
     expr    = not {OR not}         OR binds least, then AND, then NOT, then juxtaposition
     and     = not {AND not}
@@ -13,6 +13,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -193,20 +194,38 @@ def parse(query: str):
     return tree
 
 
-def _places(tokens: Column, phrase: Phrase) -> Column:
-    """Start positions, from 1, of a phrase in a token array."""
-    n = len(phrase.tokens)
-    last = F.size(tokens) - (n - 1)
-    starts = F.when(last >= 1, F.sequence(F.lit(1), F.lit(1) if phrase.initial else last)).otherwise(F.array().cast("array<int>"))
+@dataclass(frozen=True)
+class Token:
+    """A token, or all that begin with it, in one column."""
+
+    column: str
+    text: str
+    prefix: bool = False
+
+
+def wanted(tree) -> list[Token]:
+    """The tokens that a parsed query asks for, each once."""
+    if isinstance(tree, Near):
+        if any(not p.tokens for p in tree.phrases):
+            return []
+        every = [(t, p.prefix and k == len(p.tokens) - 1) for p in tree.phrases for k, t in enumerate(p.tokens)]
+        return list(dict.fromkeys(Token(c, t, x) for c in tree.columns for t, x in every))
+    return list(dict.fromkeys(t for i in tree.items for t in wanted(i)))
 
-    def here(i: Column) -> Column:
-        tests = []
-        for k, t in enumerate(phrase.tokens):
-            word = F.element_at(tokens, i + k)
-            tests.append(word.startswith(t) if phrase.prefix and k == n - 1 else word == t)
-        return reduce(lambda a, b: a & b, tests)
 
-    return F.filter(starts, here)
+def _moved(places: Column, by: int) -> Column:
+    return F.transform(places, lambda x: x - by)
+
+
+def _places(at: Callable[[Token], Column], column: str, phrase: Phrase) -> Column:
+    """Start positions, from 1, of a phrase: those of its first token at which the others follow."""
+    last = len(phrase.tokens) - 1
+    out = None
+    for k, t in enumerate(phrase.tokens):
+        here = at(Token(column, t, phrase.prefix and k == last))
+        starts = _moved(here, k) if k else here
+        out = starts if out is None else F.array_intersect(out, starts)
+    return F.filter(out, lambda x: x == 1) if phrase.initial else out
 
 
 def _bound(value: Column, body) -> Column:
@@ -214,16 +233,11 @@ def _bound(value: Column, body) -> Column:
     return F.exists(F.array(value), body)
 
 
-def _near(tokens: Column, node: Near) -> Column:
-    if any(not p.tokens for p in node.phrases):
-        return F.lit(False)
-    if len(node.phrases) == 1:
-        p = node.phrases[0]
-        if len(p.tokens) == 1 and not p.initial:
-            word = p.tokens[0]
-            return F.exists(tokens, lambda t: t.startswith(word)) if p.prefix else F.array_contains(tokens, word)
-        return _bound(tokens, lambda t: F.size(_places(t, p)) > 0)
-    return _bound(tokens, lambda t: _bound(F.array(*[_places(t, p) for p in node.phrases]), lambda at: _close(at, node)))
+def _near(at: Callable[[Token], Column], column: str, node: Near) -> Column:
+    places = [_places(at, column, p) for p in node.phrases]
+    if len(places) == 1:
+        return F.size(places[0]) > 0
+    return _bound(F.array(*places), lambda found: _close(found, node))
 
 
 def _close(at: Column, node: Near) -> Column:
@@ -241,14 +255,11 @@ def _close(at: Column, node: Near) -> Column:
     return reduce(lambda a, b: a | b, [led_by(k) for k in range(len(places))])
 
 
-def compile_match(query: str, column_tokens: dict[str, Column]) -> Column:
-    """The query as a condition on the token arrays of the columns."""
-
-    def build(node) -> Column:
-        if isinstance(node, Near):
-            tests = [_near(column_tokens[c], node) for c in node.columns]
-            return reduce(lambda a, b: a | b, tests, F.lit(False))
-        a, b = (build(i) for i in node.items)
-        return a & b if node.name == "AND" else a | b if node.name == "OR" else a & ~b
-
-    return build(parse(query))
+def compile_match(tree, at: Callable[[Token], Column]) -> Column:
+    """A parsed query as a condition on the positions of the tokens it asks for."""
+    if isinstance(tree, Near):
+        if any(not p.tokens for p in tree.phrases):
+            return F.lit(False)
+        return reduce(lambda a, b: a | b, [_near(at, c, tree) for c in tree.columns], F.lit(False))
+    a, b = (compile_match(i, at) for i in tree.items)
+    return a & b if tree.name == "AND" else a | b if tree.name == "OR" else a & ~b

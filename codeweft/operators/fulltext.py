@@ -1,28 +1,68 @@
-"""Full-text search over symbols."""
+"""Full-text search over symbols by an inverted index.
+
+The index has a row for each token, column and symbol, with the token's positions.
+Kept as a table sorted by token, a query reads the files that may hold its own
+tokens and prefixes, and nothing of other texts. Ids are taken to be unique.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+from typing import Protocol
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codeweft.functions.match import COLUMNS, compile_match
+from codeweft.functions.match import COLUMNS, Token, compile_match, parse, wanted
 from codeweft.functions.text import tokens
 from codeweft.operators.search import read_symbols
 
 DEFAULT_LIMIT = 20
+POSTINGS = "term string, field string, id string, positions array<int>"
+#: What the index is sorted by: a token of most symbols has many rows, which several files hold.
+POSTINGS_KEY = ("term", "id", "field")
+
+
+class Index(Protocol):
+    """Rows of POSTINGS, found by term."""
+
+    def near(self, keys: list[str], prefixes: list[str]) -> DataFrame: ...
 
 
 def index(symbols: DataFrame) -> DataFrame:
-    """The token index: ``id`` and an array of tokens for each searched column; a store keeps it beside the symbols."""
-    return symbols.select("id", *[tokens(F.col(c)).alias(c) for c in COLUMNS])
+    """The rows of POSTINGS of all symbols; absent texts have none."""
+    fields = [F.struct(F.lit(c).alias("field"), tokens(F.col(c)).alias("tokens")) for c in COLUMNS]
+    each = symbols.select("id", F.inline(F.array(*fields)))
+    each = each.select("id", "field", F.posexplode("tokens").alias("at", "term"))
+    places = F.sort_array(F.collect_list(F.col("at") + 1)).alias("positions")
+    return each.groupBy("id", "field", "term").agg(places).select("term", "field", "id", "positions")
+
+
+def matches(indexed: DataFrame | Index, query: str) -> DataFrame:
+    """``id`` of what matches, each once; a query that doesn't parse raises MatchError."""
+    tree = parse(query)
+    asked = wanted(tree)
+    exact = sorted({t.text for t in asked if not t.prefix})
+    starts = sorted({t.text for t in asked if t.prefix})
+    if isinstance(indexed, DataFrame):
+        tests = [F.col("term").isin(exact)] if exact else []
+        tests += [F.col("term").startswith(p) for p in starts]
+        rows = indexed.where(reduce(lambda a, b: a | b, tests, F.lit(False)))
+    else:
+        rows = indexed.near(exact, starts)
 
+    def fits(t: Token) -> Column:
+        own = F.col("term").startswith(t.text) if t.prefix else F.col("term") == t.text
+        return (F.col("field") == t.column) & own
 
-def matches(indexed: DataFrame, query: str) -> DataFrame:
-    """``id`` of what matches; a query that doesn't parse raises MatchError."""
-    return indexed.where(compile_match(query, {c: F.col(c) for c in COLUMNS})).select("id")
+    if not asked:
+        return rows.select("id").limit(0)
+    names = {t: f"p{i}" for i, t in enumerate(asked)}
+    held = [F.flatten(F.collect_list(F.when(fits(t), F.col("positions")))).alias(n) for t, n in names.items()]
+    return rows.groupBy("id").agg(*held).where(compile_match(tree, lambda t: F.col(names[t]))).select("id")
 
 
-def search(symbols: DataFrame, query: str, limit: int = 0, indexed: DataFrame | None = None) -> DataFrame:
+def search(symbols: DataFrame, query: str, limit: int = 0, indexed: DataFrame | Index | None = None) -> DataFrame:
     """Symbols that match, each once, by id; a limit of 0 or less means 20."""
     hits = matches(index(symbols) if indexed is None else indexed, query)
     found = read_symbols(symbols.join(hits, "id", "left_semi"))

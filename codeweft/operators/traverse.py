@@ -2,111 +2,187 @@
 
 What a walk of at most ``depth`` edges reaches is what breadth-first search reaches
 within ``depth`` levels, so visited ids are never expanded again and dense or
-cyclic graphs cost no more than their edges. A small frontier is a filter that the
-scan of the edges takes in; one beyond SMALL ids is a written table that edges
-join. Ids need not have a symbol: paths run through them, results don't show them.
+cyclic graphs cost no more than their edges. Edges may be a table or an Adjacency,
+whose levels read only the files that may hold the frontier, in either direction.
+A frontier beyond SMALL ids is a written table that edges join. Many starts are
+searched at once, 64 to a word of bits, so that a row is an id and a word and not an
+id and a start. Ids need not have a symbol: paths run through them, results don't
+show them.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+from typing import Protocol
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codeweft.operators.search import read_symbols
 from codeweft.sources.scratch import Workspace
+from codeweft.sources.segments import ROWS, Segment
 
 #: Ids of a frontier, and of all levels so far, that the driver holds.
 SMALL = 10_000
+#: Starts of one word of bits.
+WORD = 64
+
+
+class Steps(Protocol):
+    """Single steps ``(at, id)`` along edges of one kind in one direction."""
+
+    def near(self, ids: list[str]) -> DataFrame:
+        """Those that leave the given ids."""
+
+    def all(self) -> DataFrame: ...
+
+
+class TableSteps:
+    """Steps of a plain table of edges."""
+
+    def __init__(self, edges: DataFrame, forward: bool, kind: str):
+        a, b = ("from_id", "to_id") if forward else ("to_id", "from_id")
+        self.rows = edges.where(F.col("kind") == kind).select(F.col(a).alias("at"), F.col(b).alias("id"))
+
+    def near(self, ids: list[str]) -> DataFrame:
+        return self.rows.where(F.col("at").isin(ids))
+
+    def all(self) -> DataFrame:
+        return self.rows
+
+
+class Adjacency:
+    """Edges written twice, sorted by either end."""
+
+    def __init__(self, out: Segment, back: Segment):
+        self.out, self.back = out, back
+
+    @classmethod
+    def write(cls, edges: DataFrame, path: str, rows: int = ROWS) -> Adjacency:
+        ends = ("from_id", "to_id")
+        return cls(*(Segment.write(edges, f"{path}/{e}", (e, "kind", *(x for x in ends if x != e)), rows) for e in ends))
+
+    def steps(self, forward: bool, kind: str) -> Steps:
+        return _AdjacentSteps(self.out if forward else self.back, forward, kind)
+
+
+class _AdjacentSteps:
+    def __init__(self, segment: Segment, forward: bool, kind: str):
+        self.segment, self.forward, self.kind = segment, forward, kind
+
+    def near(self, ids: list[str]) -> DataFrame:
+        return TableSteps(self.segment.near(ids), self.forward, self.kind).all()
+
+    def all(self) -> DataFrame:
+        return TableSteps(self.segment.all(), self.forward, self.kind).all()
+
+
+def stepping(edges: DataFrame | Adjacency, forward: bool, kind: str) -> Steps:
+    """Steps over a table of edges, or over anything that has ``steps`` of its own."""
+    return TableSteps(edges, forward, kind) if isinstance(edges, DataFrame) else edges.steps(forward, kind)
 
 
-def reach(edges: DataFrame, seeds: DataFrame, depth: int, forward: bool, kind: str) -> DataFrame:
+def reach(edges: DataFrame | Adjacency, seeds: DataFrame, depth: int, forward: bool, kind: str) -> DataFrame:
     """``(seed, id)``: what each seed reaches in 1 to max(depth, 1) steps, itself left out unless a cycle returns to it."""
-    a, b = ("from_id", "to_id") if forward else ("to_id", "from_id")
-    steps = edges.where(F.col("kind") == kind).select(F.col(a).alias("at"), F.col(b).alias("id")).distinct()
-    ws = Workspace(edges.sparkSession, "reach")
-    if depth > 1:
-        steps = ws.put(steps)
-    frontier = ws.put(seeds.select(F.col("id").alias("seed"), F.col("id").alias("at")).distinct())
-    seen = None
+    ws = Workspace(seeds.sparkSession, "reach")
+    # consecutive numbers of a partition: the seeds of a word are numbered together
+    number = F.monotonically_increasing_id()
+    named = seeds.where("id is not null").select("id").distinct()
+    named = ws.put(named.select(F.col("id").alias("seed"), number.alias("n")).selectExpr("seed", f"n div {WORD} as word", f"cast(n % {WORD} as int) as bit"))
+    _, seen = reach_bits(stepping(edges, forward, kind).all(), named, depth, ws)
+    each = F.filter(F.sequence(F.lit(0), F.lit(WORD - 1)), lambda b: F.getbit("bits", b) == 1)
+    spread = seen.select("word", "id", F.explode(each).alias("bit"))
+    return spread.join(named, ["word", "bit"]).select("seed", "id")
+
+
+def reach_bits(steps: DataFrame, seeds: DataFrame, depth: int, ws: Workspace) -> tuple[int, DataFrame]:
+    """Levels run, and ``(word, id, bits)``: which of a word's seeds reach an id."""
+    steps = ws.put(steps.where("at is not null and id is not null").distinct()) if depth > 1 else steps.distinct()
+    bits = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("bit"))
+    frontier, seen, levels = seeds.select("word", F.col("seed").alias("at"), bits.alias("bits")), None, 0
     for _ in range(max(depth, 1)):
-        found = frontier.join(steps, "at").select("seed", "id").distinct()
-        if seen is not None:
-            found = found.join(seen, ["seed", "id"], "left_anti")
-        found = ws.put(found)
+        levels += 1
+        found = frontier.join(steps, "at").groupBy("word", "id").agg(F.bit_or("bits").alias("bits"))
+        if seen is None:
+            seen = found = ws.put(found)
+        else:
+            known = seen.withColumnRenamed("bits", "known")
+            merged = found.join(known, ["word", "id"], "full").select("word", "id", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("bits", "known")))
+            merged = ws.put(merged.withColumn("fresh", F.expr("bits & ~known")))
+            seen = merged.select("word", "id", F.expr("bits | known").alias("bits"))
+            found = merged.where("fresh <> 0").select("word", "id", F.col("fresh").alias("bits"))
         if found.isEmpty():
             break
-        seen = found if seen is None else seen.union(found)
-        frontier = found.select("seed", F.col("id").alias("at"))
-    return seen if seen is not None else frontier.select("seed", F.col("at").alias("id")).limit(0)
+        frontier = found.select("word", F.col("id").alias("at"), "bits")
+    return levels, seen
 
 
-def reachable_ids(edges: DataFrame, start: str, depth: int, forward: bool, kind: str) -> DataFrame:
+def reachable_ids(edges: DataFrame | Adjacency, start: str, depth: int, forward: bool, kind: str) -> DataFrame:
     """``id`` of everything within max(depth, 1) steps of ``start``, but for ``start``."""
-    spark = edges.sparkSession
-    a, b = ("from_id", "to_id") if forward else ("to_id", "from_id")
-    steps = edges.where(F.col("kind") == kind)
+    steps = stepping(edges, forward, kind)
     frontier, seen = [start], {start}
     for level in range(max(depth, 1)):
-        found = steps.where(F.col(a).isin(frontier)).select(F.col(b).alias("id")).distinct()
+        found = steps.near(frontier).select("id").where("id is not null").distinct()
         rows = found.take(SMALL + 1)
         if len(rows) + len(seen) > SMALL:
-            return _reach_large(steps, a, b, start, seen, frontier, max(depth, 1) - level)
+            return _reach_large(steps, start, seen, frontier, max(depth, 1) - level)
         frontier = [r.id for r in rows if r.id not in seen]
         seen.update(frontier)
         if not frontier:
             break
-    return spark.createDataFrame([(i,) for i in sorted(seen - {start})], "id string")
+    return found.sparkSession.createDataFrame([(i,) for i in sorted(seen - {start})], "id string")
 
 
-def _reach_large(steps: DataFrame, a: str, b: str, start: str, seen: set[str], frontier: list[str], levels: int) -> DataFrame:
+def _reach_large(steps: Steps, start: str, seen: set[str], frontier: list[str], levels: int) -> DataFrame:
     """The rest of a traversal whose levels are too large for the driver."""
-    spark = steps.sparkSession
+    every = steps.all()
+    spark = every.sparkSession
     ws = Workspace(spark, "frontier")
-    visited = ws.put(spark.createDataFrame([(i,) for i in seen], "id string"))
-    front = spark.createDataFrame([(i,) for i in frontier], f"{a} string")
-    for _ in range(levels):
-        found = steps.join(front, a, "left_semi").select(F.col(b).alias("id")).distinct()
-        found = ws.put(found.join(visited, "id", "left_anti"))
+    visited = [ws.put(spark.createDataFrame([(i,) for i in seen], "id string"))]
+    front = spark.createDataFrame([(i,) for i in frontier], "at string")
+    for level in range(levels):
+        # the first frontier is known to the driver, so its steps may be looked up
+        near = steps.near(frontier) if level == 0 else every.join(front, "at", "left_semi")
+        found = near.select("id").where("id is not null").distinct()
+        found = ws.put(found.join(reduce(DataFrame.union, visited), "id", "left_anti"))
         if found.isEmpty():
             break
-        visited = visited.union(found)
-        front = found.select(F.col("id").alias(a))
-    return visited.where(F.col("id") != start)
+        visited.append(found)
+        front = found.select(F.col("id").alias("at"))
+    return reduce(DataFrame.union, visited).where(F.col("id") != start)
 
 
 def _symbols(symbols: DataFrame, ids: DataFrame) -> DataFrame:
     return read_symbols(symbols.join(ids, "id", "left_semi")).orderBy("id")
 
 
-def callers(symbols: DataFrame, edges: DataFrame, symbol_id: str, depth: int = 3) -> DataFrame:
+def callers(symbols: DataFrame, edges: DataFrame | Adjacency, symbol_id: str, depth: int = 3) -> DataFrame:
     return _symbols(symbols, reachable_ids(edges, symbol_id, depth, False, "calls"))
 
 
-def callees(symbols: DataFrame, edges: DataFrame, symbol_id: str, depth: int = 3) -> DataFrame:
+def callees(symbols: DataFrame, edges: DataFrame | Adjacency, symbol_id: str, depth: int = 3) -> DataFrame:
     return _symbols(symbols, reachable_ids(edges, symbol_id, depth, True, "calls"))
 
 
-def dependencies(symbols: DataFrame, edges: DataFrame, symbol_id: str, depth: int = 2) -> DataFrame:
+def dependencies(symbols: DataFrame, edges: DataFrame | Adjacency, symbol_id: str, depth: int = 2) -> DataFrame:
     return _symbols(symbols, reachable_ids(edges, symbol_id, depth, True, "imports"))
 
 
-def dependents(symbols: DataFrame, edges: DataFrame, symbol_id: str, depth: int = 2) -> DataFrame:
+def dependents(symbols: DataFrame, edges: DataFrame | Adjacency, symbol_id: str, depth: int = 2) -> DataFrame:
     return _symbols(symbols, reachable_ids(edges, symbol_id, depth, False, "imports"))
 
 
-def implementors(symbols: DataFrame, edges: DataFrame, symbol_id: str) -> DataFrame:
+def implementors(symbols: DataFrame, edges: DataFrame | Adjacency, symbol_id: str) -> DataFrame:
     """What implements the symbol, one step back; the symbol itself isn't left out."""
-    hit = edges.where((F.col("kind") == "implements") & (F.col("to_id") == symbol_id))
-    return _symbols(symbols, hit.select(F.col("from_id").alias("id")))
+    return _symbols(symbols, stepping(edges, False, "implements").near([symbol_id]).select("id"))
 
 
-def detail(symbols: DataFrame, edges: DataFrame, symbol_id: str) -> DataFrame:
+def detail(symbols: DataFrame, edges: DataFrame | Adjacency, symbol_id: str) -> DataFrame:
     """``(role, id)``: the symbol and its direct callers and callees; no row if there is no such symbol."""
     own = symbols.where(F.col("id") == symbol_id).select(F.lit("symbol").alias("role"), "id", F.col("id").alias("of"))
-    calls = edges.where("kind = 'calls' and from_id <> to_id")
 
-    def near(role: str, here: str, there: str) -> DataFrame:
-        ends = calls.where(F.col(here) == symbol_id).select(F.col(there).alias("id"), F.col(here).alias("of")).distinct()
+    def near(role: str, forward: bool) -> DataFrame:
+        ends = stepping(edges, forward, "calls").near([symbol_id]).where("id <> at").select("id", F.col("at").alias("of")).distinct()
         return ends.join(own.select("of"), "of", "left_semi").join(symbols, "id", "left_semi").select(F.lit(role).alias("role"), "id", "of")
 
-    return own.union(near("caller", "to_id", "from_id")).union(near("callee", "from_id", "to_id")).select("role", "id")
+    return own.union(near("caller", False)).union(near("callee", True)).select("role", "id")

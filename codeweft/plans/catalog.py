@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from codeweft.functions.ids import symbol_id_column
 from codeweft.functions.text import BASE, MARKED
 from codeweft.operators import fulltext, mutate, search, traverse
+from codeweft.plans import derived
 from codeweft.plans import tables as t
 from codeweft.plans.model import Graph
 
@@ -162,10 +163,14 @@ def _walk_sql(kind: str, forward: bool, depth: int, start: str) -> str:
     )
 
 
+def _all_calls(near: traverse.Adjacency) -> DataFrame:
+    return near.out.all().where("kind = 'calls'")
+
+
 def _calls(run, depth: int, end: str):
     def of(s: SparkSession, d: str) -> DataFrame:
-        calls = t.edges(s, d, ("calls",)).cache()
-        return run(t.symbols(s, d), calls, t.busiest(calls, end), depth)
+        near = derived.adjacency(s, d)
+        return run(t.symbols(s, d), near, t.busiest(_all_calls(near), end), depth)
 
     return of
 
@@ -182,27 +187,27 @@ for _name, _run, _forward, _depth in (
 
 _add(
     "dependencies_d2",
-    lambda s, d: traverse.dependencies(t.symbols(s, d), t.edges(s, d, ("imports",)), "customer:11", 2),
+    lambda s, d: traverse.dependencies(t.symbols(s, d), derived.adjacency(s, d), "customer:11", 2),
     _walk_sql("imports", True, 2, "SELECT 'customer:11' AS id"),
     recursive=True,
 )
 for _depth in (1, 2):
     _add(
         f"dependents_d{_depth}",
-        lambda s, d, n=_depth: traverse.dependents(t.symbols(s, d), t.edges(s, d, ("imports",)), "region:2", n),
+        lambda s, d, n=_depth: traverse.dependents(t.symbols(s, d), derived.adjacency(s, d), "region:2", n),
         _walk_sql("imports", False, _depth, "SELECT 'region:2' AS id"),
         recursive=True,
     )
 _add(
     "implementors",
-    lambda s, d: traverse.implementors(t.symbols(s, d), t.edges(s, d, ("implements",)), "supplier:3"),
+    lambda s, d: traverse.implementors(t.symbols(s, d), derived.adjacency(s, d), "supplier:3"),
     f"SELECT {_SYMBOL} FROM symbols WHERE id IN (SELECT from_id FROM edges WHERE kind = 'implements' AND to_id = 'supplier:3')",
 )
 
 
 def _detail(s: SparkSession, d: str) -> DataFrame:
-    calls = t.edges(s, d, ("calls",)).cache()
-    return traverse.detail(t.symbols(s, d), calls, t.busiest(calls))
+    near = derived.adjacency(s, d)
+    return traverse.detail(t.symbols(s, d), near, t.busiest(_all_calls(near)))
 
 
 _add(
@@ -216,7 +221,7 @@ _add(
 
 def _reach_many(s: SparkSession, d: str) -> DataFrame:
     seeds = t.read(s, d, "part").where("p_partkey % 50 = 0").select(F.concat(F.lit("part:"), F.col("p_partkey").cast("string")).alias("id"))
-    return traverse.reach(t.edges(s, d, ("calls",)).cache(), seeds, 3, True, "calls")
+    return traverse.reach(derived.adjacency(s, d), seeds, 3, True, "calls")
 
 
 _add(
@@ -237,10 +242,10 @@ def _quoted(x: str) -> str:
 _TOKENS_SQL = (
     "WITH tok AS (SELECT 'doc:' || doc_id AS id, "
     + ", ".join(
-        f"regexp_extract_all(translate(lower({c}), {_quoted(MARKED)}, {_quoted(BASE)}), '[\\p{{L}}\\p{{N}}\\p{{Co}}]+') AS {n}"
+        f"regexp_extract_all(translate(lower(coalesce({c}, '')), {_quoted(MARKED)}, {_quoted(BASE)}), '[\\p{{L}}\\p{{N}}\\p{{Co}}]+') AS {n}"
         for n, c in (("name", "lang"), ("signature", "source"), ("doc_comment", "text"))
     )
-    + " FROM documents WHERE text IS NOT NULL) "
+    + " FROM documents) "
 )
 _in = lambda w, cols=("name", "signature", "doc_comment"): "(" + " OR ".join(f"list_contains({c}, '{w}')" for c in cols) + ")"
 _phrase = lambda c, ws: (
@@ -270,7 +275,7 @@ _TEXT = {
     "fts_grouping": ("(apache OR mit) NOT the", f"({_in('apache')} OR {_in('mit')}) AND NOT {_in('the')}"),
 }
 for _name, (_query, _where) in _TEXT.items():
-    QUERIES[_name] = lambda s, d, q=_query: fulltext.matches(fulltext.index(t.texts(s, d).where("doc_comment is not null")), q)
+    QUERIES[_name] = lambda s, d, q=_query: fulltext.matches(derived.postings(s, d), q)
     ORACLES[_name] = f"{_TOKENS_SQL}SELECT id FROM tok WHERE {_where}"
 _add(
     "fts_limited",

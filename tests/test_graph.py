@@ -11,6 +11,7 @@ from codeweft.functions import match
 from codeweft.functions.text import tokens_of
 from codeweft.operators import fulltext, mutate, search, traverse
 from codeweft.plans import model
+from codeweft.sources.segments import Segment
 
 E = model.EDGES
 
@@ -67,7 +68,7 @@ def bfs(pairs, start, depth):
 
 
 @pytest.mark.parametrize("seed", range(3))
-def test_traversal_equals_plain_search(spark, seed, monkeypatch):
+def test_traversal_equals_plain_search(spark, seed, monkeypatch, tmp_path):
     rnd = random.Random(seed)
     names = [f"n{i:02d}" for i in range(25)]
     pairs = [(rnd.choice(names), rnd.choice(names)) for _ in range(50)]
@@ -77,7 +78,13 @@ def test_traversal_equals_plain_search(spark, seed, monkeypatch):
         for depth in (1, 3, 6):
             assert ids(traverse.callees(s, e, names[0], depth)) == bfs(pairs, names[0], depth)
             assert ids(traverse.callers(s, e, names[1], depth)) == bfs([(b, a) for a, b in pairs], names[1], depth)
-    many = traverse.reach(e, symbols(spark, names[:3]), 2, True, "calls").collect()
+    near = traverse.Adjacency.write(e, str(tmp_path / "near"), rows=7)
+    for depth in (1, 3, 9):
+        assert ids(traverse.callees(s, near, names[0], depth)) == bfs(pairs, names[0], depth)
+        assert ids(traverse.callers(s, near, names[1], depth)) == bfs([(b, a) for a, b in pairs], names[1], depth)
+    level = near.steps(True, "calls").near(names[:1])
+    assert len(level.inputFiles()) <= 3 < len(near.out.ranges)
+    many = traverse.reach(near, symbols(spark, names[:3]), 2, True, "calls").collect()
     for n in names[:3]:
         assert sorted(r.id for r in many if r.seed == n and r.id != n) == bfs(pairs, n, 2)
 
@@ -132,19 +139,51 @@ def lite():
 
 
 @pytest.fixture(scope="module")
-def indexed(spark):
+def texts(spark):
     rows = [(k, n, "function", "f", 1, 1, s, d, "p") for k, (n, s, d) in TEXTS.items()]
-    return fulltext.index(spark.createDataFrame(rows, model.SYMBOLS)).cache()
-
+    rows += [("6", None, "function", "f", 1, 1, None, "only a comment", "p"), ("7", "only a name", "function", "f", 1, 1, None, None, "p")]
+    return spark.createDataFrame(rows, model.SYMBOLS)
 
-def test_full_text_equals_sqlite(indexed, lite):
-    from pyspark.sql import functions as F
 
-    want = {q: sorted(r[0] for r in lite.execute("select id from t where t match ?", (q,))) for q in MATCHES}
-    conds = [match.compile_match(q, {c: F.col(c) for c in match.COLUMNS}).alias(f"q{i}") for i, q in enumerate(MATCHES)]
-    rows = indexed.select("id", *conds).collect()
-    got = {q: sorted(r.id for r in rows if r[f"q{i}"]) for i, q in enumerate(MATCHES)}
-    assert got == want
+@pytest.fixture(scope="module")
+def posted(texts, tmp_path_factory):
+    """The index in files of three rows."""
+    return Segment.write(fulltext.index(texts), str(tmp_path_factory.mktemp("postings")), fulltext.POSTINGS_KEY, rows=3)
+
+
+def test_full_text_equals_sqlite(texts, posted, lite):
+    lite.executemany("insert into t values (?, ?, ?, ?)", [("6", None, None, "only a comment"), ("7", "only a name", None, None)])
+    indexed = fulltext.index(texts).cache()
+    for k, q in enumerate(MATCHES):
+        want = sorted(r[0] for r in lite.execute("select id from t where t match ?", (q,)))
+        assert ids(fulltext.matches(posted, q)) == want, q
+        if k % 5 == 0:
+            assert ids(fulltext.matches(indexed, q)) == want, q
+    assert ids(fulltext.search(texts, "only", indexed=posted)) == ["6", "7"]
+
+
+def test_a_query_reads_the_files_of_its_terms(posted):
+    assert len(posted.ranges) > 10 and [r[1:3] for r in posted.ranges] == sorted(r[1:3] for r in posted.ranges)
+    for query, terms in (("cafe", ["cafe"]), ("one AND two", ["one", "two"]), ("handle*", []), ("z NOT zebra", ["z", "zebra"])):
+        read = fulltext.matches(posted, query).inputFiles()
+        names = set(posted.files_near(terms, ["handle"] if "*" in query else []))
+        assert {f.rsplit("/", 1)[1] for f in read} == names and len(names) <= 4
+
+
+def test_segments(spark, tmp_path):
+    rows = [(f"k{i % 40:02d}", i) for i in range(200)] + [(None, 7)] * 5 + [("ü", 1)]
+    seg = Segment.write(spark.createDataFrame(rows, "k string, v long").repartition(3), str(tmp_path / "s"), ["k", "v"], rows=20)
+    assert sum(r[3] for r in seg.ranges) == len(rows) == seg.all().count()
+    for keys in ([], ["k07"], ["k00", "k39", "absent"], ["ü"]):
+        assert sorted(tuple(r) for r in seg.near(keys).collect()) == sorted(r for r in rows if r[0] in keys)
+        assert len(seg.files_near(keys)) <= 2 * len(keys)
+    assert seg.near((), ["k0"]).count() == 50 and seg.near(["ü"], ["k1"]).count() == 51
+    ordered = sorted(rows, key=lambda r: (r[0] is not None, (r[0] or "").encode(), r[1]))
+    for offset, limit in ((0, 10), (57, 30), (200, 50), (500, 5)):
+        assert [tuple(r) for r in seg.page(offset, limit).collect()] == ordered[offset : offset + limit]
+    assert len(seg.files_at(100, 10)[0]) <= 2
+    nothing = Segment.write(spark.createDataFrame([], "k string, v long"), str(tmp_path / "n"), ["k"])
+    assert nothing.all().count() == nothing.near(["a"]).count() == nothing.page(0, 5).count() == 0
 
 
 @pytest.mark.parametrize("query", BROKEN)
