@@ -38,15 +38,20 @@ class Engine:
         return wire(search.search(self.store.graph().symbols, limit, offset, **filters))
 
     def walk(self, name: str, symbol_id: str, depth: int) -> list[dict]:
-        g = self.store.graph()
-        return wire(getattr(traverse, name)(g.symbols, g.edges, symbol_id, depth))
+        return wire(getattr(traverse, name)(*self._edges(), symbol_id, depth))
 
     def implementors(self, symbol_id: str) -> list[dict]:
-        g = self.store.graph()
-        return wire(traverse.implementors(g.symbols, g.edges, symbol_id))
+        return wire(traverse.implementors(*self._edges(), symbol_id))
 
     def grep(self, query: str, limit: int = 20) -> list[dict]:
-        return wire(fulltext.search(self.store.graph().symbols, query, limit, self.store.tokens()))
+        symbols, _ = self._edges()
+        view = self.store.snapshot()
+        return wire(fulltext.search(symbols, query, limit, view.postings if view else None))
+
+    def _edges(self):
+        """Symbols, and edges by either end."""
+        view = self.store.snapshot()
+        return (view.rows("symbols"), view) if view else (self.store.table("symbols"), self.store.table("edges"))
 
     def detail(self, symbol_id: str) -> dict | None:
         own = wire(search.lookup(self.store.graph().symbols, symbol_id))
@@ -55,8 +60,7 @@ class Engine:
         return {"symbol": own[0], "callers": self.walk("callers", symbol_id, 1), "callees": self.walk("callees", symbol_id, 1)}
 
     def stats(self) -> list[dict]:
-        g = self.store.graph()
-        rows = search.project_stats(g.projects, g.symbols, g.edges, g.files).orderBy("project_id").collect()
+        rows = search.counted_stats(self.store.table("projects"), self.store.table("totals")).orderBy("project_id").collect()
         return [{"ProjectID": r.project_id, "SymbolCount": r.symbol_count, "EdgeCount": r.edge_count, "FileCount": r.file_count} for r in rows]
 
     def graph_page(self, page: int, size: int, project_id: str, kind: str) -> dict:

@@ -1,13 +1,15 @@
 """Build and update: scan, find what changed, extract that, commit a snapshot.
 
-Trees are listed without contents; only files that are new or whose time differs from
-the index are read and hashed. Rows are kept by file, so a changed or deleted file takes exactly its own rows
-with it; what several files share (module nodes) and which edges dangle follows
-from all rows at commit. An update thus gives the rows that a build would.
+Trees are listed without contents. A build reads and hashes files that are new or whose
+time differs from the index, an update every file. Rows are kept by file, so a changed or
+deleted file takes exactly its own rows with it; what several files share (module nodes)
+and which edges dangle follows from all rows at commit. An update thus gives the rows
+that a build would, and writes only what changed.
 """
 
 from __future__ import annotations
 
+import hashlib
 import os
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -23,7 +25,7 @@ from codeweft.sources import config
 from codeweft.sources.extract import extensions, extract
 from codeweft.sources.scan import read_tree
 from codeweft.sources.scratch import Workspace as Scratch
-from codeweft.sources.store import Store
+from codeweft.sources.store import Changes, Store
 
 _LISTED = "path string, project_id string, mod_time timestamp"
 _ROW = f"rec string, error string, {SYMBOLS}, from_id string, to_id string, line bigint"
@@ -78,8 +80,11 @@ def scan(spark: SparkSession, workspace: config.Workspace, root: str) -> DataFra
     return last.select("path", "file.project_id", "file.mod_time")
 
 
-def opened(files: DataFrame) -> DataFrame:
-    """The listed files with content and hash; one that can't be read any more is left out. Executors must share the file system."""
+def opened(files: DataFrame, contents: bool = True) -> DataFrame:
+    """The listed files with their hash, and content if asked for; one that can't be read any more is left out.
+
+    Executors must share the file system.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -90,20 +95,23 @@ def opened(files: DataFrame) -> DataFrame:
                 except OSError:
                     continue
                 row = batch.slice(i, 1)
-                yield pa.RecordBatch.from_arrays([*row.columns, pa.array([content], pa.binary())], [*row.schema.names, "content"])
+                found = [pa.array([hashlib.sha256(content).hexdigest()]), pa.array([content if contents else None], pa.binary())]
+                yield pa.RecordBatch.from_arrays([*row.columns, *found], [*row.schema.names, "hash", "content"])
+
+    return files.select("path", "project_id", "mod_time").mapInArrow(run, f"{_LISTED}, hash string, content binary")
 
-    read = files.select("path", "project_id", "mod_time").mapInArrow(run, f"{_LISTED}, content binary")
-    return read.withColumn("hash", mutate.content_hash(F.col("content")))
 
+def run(spark: SparkSession, store: Store, workspace: config.Workspace, root: str, trust_times: bool = True) -> Summary:
+    """Bring the store up to the source trees.
 
-def run(spark: SparkSession, store: Store, workspace: config.Workspace, root: str) -> Summary:
-    """Bring the store up to the source trees; a file whose time is the index's is taken as unchanged, unread."""
+    ``trust_times``: a file whose time is the index's, to the second, is taken as unchanged, unread.
+    """
     scratch, tasks = Scratch(spark, "build"), max(1, spark.sparkContext.defaultParallelism * 4)
-    files = scratch.put(scan(spark, workspace, root))
+    listed = scratch.put(scan(spark, workspace, root))
     index = store.table("files")
-    due = mutate.unread(files, index)
-    read = scratch.put(opened(due.repartition(tasks)))
-    known = files.join(due.select("path"), "path", "left_anti").join(index.select("path", "hash"), "path")
+    due = mutate.unread(listed, index) if trust_times else listed
+    read = scratch.put(opened(due.repartition(tasks), contents=False).drop("content"))
+    known = listed.join(due.select("path"), "path", "left_anti").join(index.select("path", "hash"), "path")
     columns = ["path", "hash", "mod_time", "project_id"]
     files = scratch.put(known.select(*columns).union(read.select(*columns)))
     changes = scratch.put(mutate.changes(index, files))
@@ -116,18 +124,15 @@ def run(spark: SparkSession, store: Store, workspace: config.Workspace, root: st
         out.symbols, out.edges = old_symbols, old_edges
         return out
     fresh = changes.where("change <> 'deleted'").select("path")
-    work = read.join(fresh, "path", "left_semi").repartition(tasks)
+    work = scratch.put(opened(read.join(fresh, "path", "left_semi").repartition(tasks)))
     rows = scratch.put(extract_files(work))
-    gone = changes.where("change <> 'added'").select(F.col("path").alias("file"))
 
-    def renewed(table: str, rec: str, ddl: str) -> DataFrame:
-        columns = [c.split()[0] for c in ddl.split(", ")]
-        new = rows.where(F.col("rec") == rec).select(*columns)
-        return store.table(table).join(gone, "file", "left_anti").select(*columns).union(new)
+    def found(rec: str, ddl: str) -> DataFrame:
+        return rows.where(F.col("rec") == rec).select(*[c.split()[0] for c in ddl.split(", ")])
 
-    symbols = renewed("raw_symbols", "symbol", SYMBOLS)
-    edges = renewed("raw_edges", "edge", EDGES)
-    store.commit(mutate.upsert_projects(store.table("projects"), projects), symbols, edges, files)
+    projects = mutate.upsert_projects(store.table("projects"), projects)
+    gone = changes.select(F.col("path").alias("file"))
+    store.apply(Changes(gone, found("symbol", SYMBOLS), found("edge", EDGES), work.select(*columns), projects))
     out.errors = rows.where("rec = 'error'").count()
     out.symbols, out.edges = store.table("symbols").count(), store.table("edges").count()
     out.pruned = store.table("raw_edges").count() - out.edges

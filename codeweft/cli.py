@@ -33,7 +33,7 @@ def main(argv: list[str] | None = None) -> int:
     sub = p.add_subparsers(dest="command", required=True)
     sub.add_parser("install", help="detect projects and write the configuration")
     sub.add_parser("build", help="bring the graph up to the sources")
-    sub.add_parser("update", help="the same; for a store that exists")
+    sub.add_parser("update", help="the same for a store that exists, by the hash of every file")
     sub.add_parser("prune", help="report edges whose ends are missing; commits never keep them")
     serve = sub.add_parser("serve", help="JSON-RPC at /mcp and REST at /api")
     serve.add_argument("--host", default="127.0.0.1")
@@ -69,7 +69,7 @@ def run(a: argparse.Namespace) -> dict | None:
     if a.command in ("build", "update"):
         if a.command == "update" and not store.version():
             raise config.ConfigError("no store yet: build first")
-        return asdict(build.run(spark, store, ws, root))
+        return asdict(build.run(spark, store, ws, root, trust_times=a.command == "build"))
     if a.command == "prune":
         raw, kept = store.table("raw_edges").count(), store.table("edges").count()
         return {"pruned": raw - kept, "edges": kept}

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from codeweft.functions.text import contains, shortened
 
 DEFAULT_LIMIT = 100
+COUNTS = ("symbol_count", "edge_count", "file_count")
 
 
 def read_symbols(symbols: DataFrame) -> DataFrame:
@@ -135,4 +136,10 @@ def project_stats(projects: DataFrame, symbols: DataFrame, edges: DataFrame, fil
     out = projects.select(F.col("id").alias("project_id"))
     for c in counts:
         out = out.join(c, "project_id", "left")
-    return out.fillna(0, ["symbol_count", "edge_count", "file_count"])
+    return out.fillna(0, list(COUNTS))
+
+
+def counted_stats(projects: DataFrame, totals: DataFrame) -> DataFrame:
+    """As project_stats, from counts that are kept: one row a project is read."""
+    own = projects.select(F.col("id").alias("project_id"))
+    return own.join(totals.select("project_id", *COUNTS), "project_id", "left").fillna(0, list(COUNTS))

@@ -28,17 +28,18 @@ class Segment:
         self.spark, self.path, self.schema, self.key = spark, path, schema, list(key)
 
     @classmethod
-    def write(cls, df: DataFrame, path: str, key: Sequence[str], rows: int = ROWS) -> Segment:
+    def write(cls, df: DataFrame, path: str, key: Sequence[str], rows: int = ROWS, ready: bool = False) -> Segment:
+        """``ready``: the rows are read from a table, so that taking them twice (ranges are sampled first) costs little."""
         spark, ws = df.sparkSession, Workspace(df.sparkSession, "segment")
-        # ranges are sampled before they are dealt; from a written table that is cheap and gives the same rows twice
-        given = ws.put(df)
+        given = df if ready else ws.put(df)
         dealt = given.repartitionByRange(*key).sortWithinPartitions(*key)
         dealt.write.option("maxRecordsPerFile", rows).parquet(f"{path}/rows")
         out = cls(spark, path, given.schema, key)
         first = F.col(key[0])
         files = out.all().groupBy(F.col("_metadata.file_name").alias("file"))
         files.agg(F.min(first).alias("low"), F.max(first).alias("high"), F.count("*").alias("n")).coalesce(1).write.parquet(f"{path}/ranges")
-        ws.drop(given)
+        if not ready:
+            ws.drop(given)
         return out
 
     def all(self) -> DataFrame:
