@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 from collections.abc import Callable
 from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
+from importlib import resources
 from typing import Any
 from urllib.parse import parse_qs, unquote, urlsplit
 
@@ -35,7 +36,9 @@ class Engine:
         self.store = store
 
     def search(self, limit: int = 0, offset: int = 0, **filters: str) -> list[dict]:
-        return wire(search.search(self.store.graph().symbols, limit, offset, **filters))
+        view = self.store.snapshot()
+        symbols = view.named(filters.get("name", "")) if view else self.store.table("symbols")
+        return wire(search.search(symbols, limit, offset, **filters))
 
     def walk(self, name: str, symbol_id: str, depth: int) -> list[dict]:
         return wire(getattr(traverse, name)(*self._edges(), symbol_id, depth))
@@ -65,9 +68,12 @@ class Engine:
 
     def graph_page(self, page: int, size: int, project_id: str, kind: str) -> dict:
         """A page of nodes without modules, unless a kind is given, and the edges that leave them."""
-        g = self.store.graph()
+        g, view = self.store.graph(), self.store.snapshot()
         exclude = "" if kind else "module"
-        nodes = search.page(g.symbols, page, size, project_id=project_id, kind=kind, exclude_kind=exclude)
+        if view and not (project_id or kind):
+            nodes = search.read_symbols(view.page((page - 1) * size, size)).orderBy("name", "id")
+        else:
+            nodes = search.page(g.symbols, page, size, project_id=project_id, kind=kind, exclude_kind=exclude)
         rows = wire(nodes)
         ids = self.store.spark.createDataFrame([(r["ID"],) for r in rows], "id string")
         edges = search.display_edges(search.edges_from(g.edges, g.symbols, ids)).collect() if rows else []
@@ -222,14 +228,22 @@ def rest(engine: Engine, url: str) -> tuple[int, Any]:
     return 404, {"error": "not found"}
 
 
-def handler(engine: Engine) -> type[BaseHTTPRequestHandler]:
+def page() -> bytes:
+    """The page at the server's root."""
+    return resources.files("codeweft.ui").joinpath("index.html").read_bytes()
+
+
+def handler(engine: Engine, tools: bool = True, pages: bool = True) -> type[BaseHTTPRequestHandler]:
+    """``tools``: JSON-RPC at /mcp; ``pages``: REST at /api and the page at the root."""
+
     class Handler(BaseHTTPRequestHandler):
         timeout = 30
 
         def _send(self, status: int, body: Any) -> None:
-            raw = json.dumps(body, ensure_ascii=False).encode() if body is not None else b""
+            whole = isinstance(body, bytes)
+            raw = body if whole else json.dumps(body, ensure_ascii=False).encode() if body is not None else b""
             self.send_response(status)
-            self.send_header("Content-Type", "application/json")
+            self.send_header("Content-Type", "text/html; charset=utf-8" if whole else "application/json")
             self.send_header("Access-Control-Allow-Origin", "*")
             self.send_header("Access-Control-Allow-Methods", "GET, OPTIONS")
             self.send_header("Content-Length", str(len(raw)))
@@ -237,13 +251,18 @@ def handler(engine: Engine) -> type[BaseHTTPRequestHandler]:
             self.wfile.write(raw)
 
         def do_GET(self) -> None:
-            self._send(405, {"error": "POST only"}) if self.path == "/mcp" else self._send(*rest(engine, self.path))
+            if tools and self.path == "/mcp":
+                self._send(405, {"error": "POST only"})
+            elif pages and urlsplit(self.path).path in ("/", "/index.html"):
+                self._send(200, page())
+            else:
+                self._send(*(rest(engine, self.path) if pages else (404, {"error": "not found"})))
 
         def do_OPTIONS(self) -> None:
             self._send(204, None)
 
         def do_POST(self) -> None:
-            if urlsplit(self.path).path != "/mcp":
+            if not tools or urlsplit(self.path).path != "/mcp":
                 self._send(405, {"error": "GET only"})
                 return
             self._send(200, rpc(engine, self.rfile.read(int(self.headers.get("Content-Length") or 0))))
@@ -259,6 +278,6 @@ def handler(engine: Engine) -> type[BaseHTTPRequestHandler]:
     return Handler
 
 
-def serve(store: Store, host: str = "127.0.0.1", port: int = 8080) -> ThreadingHTTPServer:
+def serve(store: Store, host: str = "127.0.0.1", port: int = 8080, tools: bool = True, pages: bool = True) -> ThreadingHTTPServer:
     """A server ready for ``serve_forever``; local unless told otherwise."""
-    return ThreadingHTTPServer((host, port), handler(Engine(store)))
+    return ThreadingHTTPServer((host, port), handler(Engine(store), tools, pages))

@@ -1,4 +1,4 @@
-"""Command line: install, build, update, prune, serve, clean."""
+"""Command line: install, build, update, prune, agent mcp, ui, serve, clean."""
 
 from __future__ import annotations
 
@@ -34,10 +34,16 @@ def main(argv: list[str] | None = None) -> int:
     sub.add_parser("install", help="detect projects and write the configuration")
     sub.add_parser("build", help="bring the graph up to the sources")
     sub.add_parser("update", help="the same for a store that exists, by the hash of every file")
-    sub.add_parser("prune", help="report edges whose ends are missing; commits never keep them")
-    serve = sub.add_parser("serve", help="JSON-RPC at /mcp and REST at /api")
-    serve.add_argument("--host", default="127.0.0.1")
-    serve.add_argument("--port", type=int, default=8080)
+    sub.add_parser("prune", help="remove the rows of edges whose ends are missing")
+    agent = sub.add_parser("agent", help="services for agents").add_subparsers(dest="service", required=True)
+    servers = [
+        agent.add_parser("mcp", help="JSON-RPC at /mcp"),
+        sub.add_parser("ui", help="the page, and REST at /api"),
+        sub.add_parser("serve", help="all of these"),
+    ]
+    for server in servers:
+        server.add_argument("--host", default="127.0.0.1")
+        server.add_argument("--port", type=int, default=8080)
     sub.add_parser("clean", help="remove configuration and store")
     a = p.parse_args(argv)
     logging.basicConfig(level=logging.INFO if a.verbose else logging.WARNING, format="%(message)s")
@@ -71,13 +77,12 @@ def run(a: argparse.Namespace) -> dict | None:
             raise config.ConfigError("no store yet: build first")
         return asdict(build.run(spark, store, ws, root, trust_times=a.command == "build"))
     if a.command == "prune":
-        raw, kept = store.table("raw_edges").count(), store.table("edges").count()
-        return {"pruned": raw - kept, "edges": kept}
-    symbols, edges = store.table("symbols").count(), store.table("edges").count()
+        return {"pruned": store.prune(), "edges": store.table("edges").count()}
+    symbols, edges, raw = (store.table(t).count() for t in ("symbols", "edges", "raw_edges"))
     if symbols > LARGE:
         logging.warning("large graph: %d symbols", symbols)
-    print(f"{symbols} symbols, {edges} edges at http://{a.host}:{a.port}", file=sys.stderr)
-    api.serve(store, a.host, a.port).serve_forever()
+    print(f"{symbols} symbols, {raw} edges, {edges} of them with both ends, at http://{a.host}:{a.port}", file=sys.stderr)
+    api.serve(store, a.host, a.port, tools=a.command != "ui", pages=a.command != "agent").serve_forever()
     return None
 
 

@@ -9,13 +9,15 @@ from pyspark.sql import functions as F
 
 from codeweft.functions.ids import symbol_id_column
 from codeweft.functions.text import BASE, MARKED
-from codeweft.operators import fulltext, mutate, search, traverse
+from codeweft.operators import fulltext, mutate, names, search, traverse
 from codeweft.plans import derived
 from codeweft.plans import tables as t
 from codeweft.plans.model import Graph
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+#: Candidates of a name search that are looked up one by one; beyond that symbols are scanned.
+SMALL_LOOKUP = 10_000
 
 _SYMBOL = "id, name, kind, file, start_line, end_line, coalesce(signature, '') AS signature, coalesce(doc_comment, '') AS doc_comment, project_id"
 
@@ -56,6 +58,23 @@ def _page_sql(name="", kind="", exclude_kind="", project_id="", file="", limit=0
 for _name, _args in _PAGES.items():
     _add(_name, lambda s, d, a=_args: search.search(t.symbols(s, d), **a), _page_sql(**_args))
 
+
+
+def _by_grams(s: SparkSession, d: str, part: str) -> DataFrame:
+    """A search that looks only at symbols whose names hold the pattern's trigrams."""
+    ids = names.candidates(derived.grams(s, d), part).limit(SMALL_LOOKUP + 1).collect()
+    every = derived.symbols(s, d)
+    some = every.near([r.id for r in ids]) if len(ids) <= SMALL_LOOKUP else every.all()
+    return search.search(some, name=part)
+
+
+for _name, _part in (("search_name_trigrams", "r#00000012"), ("search_name_trigrams_wildcard", "LIER#%0_9")):
+    _add(_name, lambda s, d, p=_part: _by_grams(s, d, p), _page_sql(name=_part))
+_add(
+    "search_page_deep",
+    lambda s, d: search.read_symbols(derived.symbols_by_name(s, d).page(3000, 50)),
+    _page_sql(exclude_kind="module", limit=50, offset=3000),
+)
 _add(
     "symbol_lookup",
     lambda s, d: search.lookup(t.symbols(s, d), "supplier:7"),

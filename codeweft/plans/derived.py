@@ -11,7 +11,7 @@ from typing import TypeVar
 
 from pyspark.sql import SparkSession
 
-from codeweft.operators import fulltext
+from codeweft.operators import fulltext, names
 from codeweft.operators.traverse import Adjacency
 from codeweft.plans import tables as t
 from codeweft.sources.scratch import Workspace
@@ -19,6 +19,7 @@ from codeweft.sources.segments import Segment
 
 T = TypeVar("T")
 _BUILT: dict[tuple, object] = {}
+_SYMBOL_TABLES = ("region", "nation", "customer", "supplier", "part")
 
 
 def _state(spark: SparkSession, sf_dir: str, names: tuple[str, ...]) -> tuple:
@@ -51,7 +52,17 @@ def postings(spark: SparkSession, sf_dir: str) -> Segment:
     return _built(spark, sf_dir, "postings", ("documents",), build)
 
 
+def grams(spark: SparkSession, sf_dir: str) -> Segment:
+    """Trigrams of all symbols' names."""
+    return _built(spark, sf_dir, "grams", _SYMBOL_TABLES, lambda at: Segment.write(names.index(t.symbols(spark, sf_dir)), at, names.GRAMS_KEY))
+
+
+def symbols(spark: SparkSession, sf_dir: str) -> Segment:
+    """All symbols by id."""
+    return _built(spark, sf_dir, "symbols", _SYMBOL_TABLES, lambda at: Segment.write(t.symbols(spark, sf_dir), at, ("id",)))
+
+
 def symbols_by_name(spark: SparkSession, sf_dir: str) -> Segment:
     """All symbols but modules, in the order of pages."""
     build = lambda at: Segment.write(t.symbols(spark, sf_dir).where("kind <> 'module'"), at, ("name", "id"))
-    return _built(spark, sf_dir, "by_name", ("region", "nation", "customer", "supplier", "part"), build)
+    return _built(spark, sf_dir, "by_name", _SYMBOL_TABLES, build)

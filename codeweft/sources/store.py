@@ -10,7 +10,8 @@ MOST_PARTS parts the next commit writes a whole one. Readers keep what they have
 opened; a crash before the numbered file leaves the state as it was.
 
 Tables lie sorted by what they are looked up by: rows of files by file, symbols by id,
-edges by either end, the full-text index by token. Counts of each project are carried
+edges by either end, the full-text index by token, names by trigram and, but for
+modules, in the order of pages. Counts of each project are carried
 from commit to commit. Of two writers at once the second commits on top of the first if
 they touch different files, else it fails with Conflict.
 """
@@ -29,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from codeweft.operators import fulltext
+from codeweft.operators import fulltext, names
 from codeweft.operators.mutate import winners
 from codeweft.operators.search import valid_edges
 from codeweft.operators.traverse import TableSteps
@@ -45,6 +46,8 @@ TABLES = {
     "symbols": (SYMBOLS, ("id",), (("id", "changed"),)),
     "out": (EDGES, ("from_id", "kind", "to_id"), (("file", "gone"), ("from_id", "vanished"), ("to_id", "vanished"))),
     "back": (EDGES, ("to_id", "kind", "from_id"), (("file", "gone"), ("from_id", "vanished"), ("to_id", "vanished"))),
+    "named": (SYMBOLS, ("name", "id"), (("id", "changed"),)),
+    "grams": (names.GRAMS, names.GRAMS_KEY, (("id", "changed"),)),
     "postings": (fulltext.POSTINGS, fulltext.POSTINGS_KEY, (("id", "changed"),)),
 }
 TOTALS = "project_id string, symbol_count bigint, edge_count bigint, file_count bigint"
@@ -129,7 +132,18 @@ class Snapshot:
 
     @cached_property
     def postings(self) -> fulltext.Index:
-        return _Postings(self)
+        return _Lookup(self, "postings")
+
+    def named(self, part: str) -> DataFrame:
+        """Symbols that a search for a part of a name need look at."""
+        found = names.candidates(_Lookup(self, "grams"), part) if part else None
+        return self.rows("symbols") if found is None else self.those("symbols", found)
+
+    def page(self, offset: int, limit: int) -> DataFrame:
+        """Symbols but modules by (name, id); of a whole part only the files that hold the page are read."""
+        if len(self.parts) == 1:
+            return self._segment(self.parts[0][1], "named").page(offset, limit)
+        return self.rows("named").orderBy("name", "id").offset(offset).limit(limit)
 
     def whole(self, name: str) -> DataFrame:
         return self.spark.read.schema(WHOLE[name]).parquet(f"{self.path}/{self.parts[-1][1]}/{name}")
@@ -148,12 +162,14 @@ class _Steps:
         return TableSteps(self.snapshot.rows(self.table), self.forward, self.kind).all()
 
 
-class _Postings:
-    def __init__(self, snapshot: Snapshot):
-        self.snapshot = snapshot
+class _Lookup:
+    """One table of a snapshot, by key."""
+
+    def __init__(self, snapshot: Snapshot, table: str):
+        self.snapshot, self.table = snapshot, table
 
-    def near(self, keys: list[str], prefixes: list[str]) -> DataFrame:
-        return self.snapshot.near("postings", keys, prefixes)
+    def near(self, keys: Sequence[str], prefixes: Sequence[str] = ()) -> DataFrame:
+        return self.snapshot.near(self.table, keys, prefixes)
 
 
 class Store:
@@ -282,13 +298,18 @@ class Store:
         edges = self._put(part, "out", valid_edges(self._put(part, "raw_edges", raw_edges), symbols))
         files = self._put(part, "files", files)
         self._put(part, "back", edges, ready=True)
-        self._put(part, "postings", fulltext.index(symbols))
+        self._put_indexes(part, symbols)
         self._put(part, "projects", projects)
         self._put(part, "gone", gone)
         owner = symbols.select(F.col("id").alias("from_id"), "project_id")
         self._put(part, "totals", _counted([(symbols, "symbol_count", 1), (edges.join(owner, "from_id"), "edge_count", 1), (files, "file_count", 1)]))
         return part
 
+    def _put_indexes(self, part: str, symbols: DataFrame) -> None:
+        self._put(part, "postings", fulltext.index(symbols))
+        self._put(part, "grams", names.index(symbols), ready=True)
+        self._put(part, "named", symbols.where("kind <> 'module'"), ready=True)
+
     def _write_merged(self, view: Snapshot | None, changes: Changes, gone: DataFrame) -> str:
         """A whole part of the last state with the changes."""
         if view is None:
@@ -323,7 +344,7 @@ class Store:
         changed = ws.put(both.select("id", F.expr("n is null").alias("vanished"), F.expr("o is null").alias("appeared"), moved.alias("moved")))
         self._put(part, "changed", changed)
         fresh = self._put(part, "symbols", now.join(changed, "id", "left_semi"), ready=True)
-        self._put(part, "postings", fulltext.index(fresh))
+        self._put_indexes(part, fresh)
 
         # new edges, and old ones of other files that found an end now
         appeared, vanished = changed.where("appeared").select("id"), changed.where("vanished").select("id")
@@ -367,6 +388,20 @@ class Store:
             return self.version()
         return self.commit(view.whole("projects"), view.rows("raw_symbols"), view.rows("raw_edges"), view.rows("files"))
 
+    def prune(self) -> int:
+        """Remove the rows of edges with an end missing; returns how many.
+
+        Such an edge comes back with its file's next change, not if its end turns up in another file.
+        """
+        view = self.snapshot()
+        if view is None:
+            return 0
+        alive = view.rows("out")
+        gone = view.rows("raw_edges").count() - alive.count()
+        if gone:
+            self.commit(view.whole("projects"), view.rows("raw_symbols"), alive, view.rows("files"))
+        return gone
+
     def vacuum(self) -> int:
         """Delete the parts that the last commit doesn't name; returns how many."""
         keep, gone = {p for _, p in self._head()[1]}, 0

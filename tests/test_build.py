@@ -157,7 +157,19 @@ def test_build_update_and_services(spark, tree, tmp_path, built):
     assert get("/api/symbol/none")[0] == 404 and get("/api/symbol/")[0] == 400
     assert get("/api/search")[0] == 400 and get("/api/search?q=a%20NOT")[0] == 500 and get("/api/search?q=fresh")[0] == 200
     assert get("/api/projects")[0] == 200 and get("/x")[0] == 404
+    with urllib.request.urlopen(base + "/", timeout=60) as r:
+        assert r.headers["Content-Type"].startswith("text/html") and b"/api/graph" in r.read()
     server.shutdown()
+    for tools, pages, paths in ((False, True, {"/": 200, "/mcp": 404}), (True, False, {"/": 404, "/mcp": 405})):
+        one = api.serve(store, port=0, tools=tools, pages=pages)
+        threading.Thread(target=one.serve_forever, daemon=True).start()
+        for path, status in paths.items():
+            try:
+                with urllib.request.urlopen(f"http://127.0.0.1:{one.server_port}{path}", timeout=60) as r:
+                    assert r.status == status
+            except urllib.error.HTTPError as e:
+                assert e.code == status
+        one.shutdown()
 
 
 def test_command_line(spark, tree, capsys):
@@ -175,7 +187,9 @@ def test_command_line(spark, tree, capsys):
     (tree / "web/x.js").unlink()
     changed = told("update")[1]
     assert (changed["deleted"], changed["symbol_delta"]) == (1, -2)
-    assert told("prune")[1]["edges"] == changed["edges"]
+    pruned = told("prune")[1]
+    assert pruned["edges"] == changed["edges"] and pruned["pruned"] == changed["pruned"] > 0
+    assert told("prune")[1]["pruned"] == 0
     assert told("clean")[1] == {"config_removed": True, "store_removed": True}
 
 
