@@ -23,7 +23,7 @@ from codeweft.operators import mutate
 from codeweft.plans.model import EDGES, PROJECTS, SYMBOLS
 from codeweft.sources import config
 from codeweft.sources.extract import extensions, extract
-from codeweft.sources.scan import read_tree
+from codeweft.sources.scan import Tree, listed
 from codeweft.sources.scratch import Workspace as Scratch
 from codeweft.sources.store import Changes, Store
 
@@ -67,19 +67,32 @@ def extract_files(files: DataFrame) -> DataFrame:
 
 def scan(spark: SparkSession, workspace: config.Workspace, root: str) -> DataFrame:
     """All source files of all projects, unread; a file of several projects belongs to the last."""
-    trees = None
-    for i, p in enumerate(config.flatten(workspace.projects)):
+    projects = config.flatten(workspace.projects)
+    if not projects:
+        return spark.createDataFrame([], _LISTED)
+    for p in projects:
         if not config.contained(root, p.path):
             raise config.ConfigError(f"project {p.name!r}: {p.path} is outside the workspace")
-        at = os.path.normpath(os.path.join(root, p.path))
-        tree = read_tree(spark, at, p.name, config.merge_excludes(p.exclude), extensions(), contents=False).withColumn("nth", F.lit(i))
-        trees = tree if trees is None else trees.union(tree)
-    if trees is None:
-        return spark.createDataFrame([], _LISTED)
-    last = trees.groupBy("path").agg(F.max_by(F.struct("project_id", "mod_time"), "nth").alias("file"))
+    at = [os.path.normpath(os.path.join(root, p.path)) for p in projects]
+    trees = [Tree(a, tuple(config.merge_excludes(p.exclude)), tuple(extensions())) for a, p in zip(at, projects, strict=True)]
+    names = spark.createDataFrame([(i, os.path.abspath(a), p.name) for i, (a, p) in enumerate(zip(at, projects, strict=True))], "nth int, root string, project_id string")
+    found = listed(spark, trees).join(F.broadcast(names), "nth")  # one row a project
+    found = found.withColumn("path", F.concat_ws("/", F.expr("rtrim('/', root)"), "rel"))
+    last = found.groupBy("path").agg(F.max_by(F.struct("project_id", "mod_time"), "nth").alias("file"))
     return last.select("path", "file.project_id", "file.mod_time")
 
 
+def detect(spark: SparkSession, root: str) -> list[config.Project]:
+    """As config.detect, the tree listed by tasks; the driver sees manifests only."""
+    tree = Tree(root, (".*/", *(f"{d}/" for d in sorted(config.NOT_ENTERED))), names=config.MANIFESTS)
+    rows = listed(spark, [tree]).select("rel").collect()  # a project's manifests
+    found: dict[str, list[str]] = {}
+    for r in rows:
+        folder, _, name = r.rel.rpartition("/")
+        found.setdefault(folder or ".", []).append(name)
+    return config.detect(root, found.items())
+
+
 def opened(files: DataFrame, contents: bool = True) -> DataFrame:
     """The listed files with their hash, and content if asked for; one that can't be read any more is left out.
 

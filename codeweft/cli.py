@@ -31,7 +31,8 @@ def main(argv: list[str] | None = None) -> int:
     p.add_argument("--output", choices=("text", "json"), default="text")
     p.add_argument("--verbose", action="store_true")
     sub = p.add_subparsers(dest="command", required=True)
-    sub.add_parser("install", help="detect projects and write the configuration")
+    install = sub.add_parser("install", help="detect projects and write the configuration")
+    install.add_argument("--distributed", action="store_true", help="list the tree by Spark tasks")
     sub.add_parser("build", help="bring the graph up to the sources")
     sub.add_parser("update", help="the same for a store that exists, by the hash of every file")
     sub.add_parser("prune", help="remove the rows of edges whose ends are missing")
@@ -60,7 +61,7 @@ def main(argv: list[str] | None = None) -> int:
 def run(a: argparse.Namespace) -> dict | None:
     if a.command == "install":
         root = os.path.abspath(a.workspace)
-        found = config.detect(root)
+        found = build.detect(session(), root) if a.distributed else config.detect(root)
         return {"config": config.save(config.Workspace(os.path.basename(root), found), root), "projects": len(found)}
     if a.command == "clean":
         at = config.find(a.workspace)

@@ -62,14 +62,17 @@ def content_hash(content: Column) -> Column:
 
 
 def changes(old: DataFrame, new: DataFrame) -> DataFrame:
-    """``(path, change)`` between two file indexes with ``path, hash``: added, modified or deleted; equal files aren't listed."""
-    a = old.select("path", F.col("hash").alias("old_hash"))
-    b = new.select("path", F.col("hash").alias("new_hash"))
+    """``(path, change)`` between two file indexes with ``path, hash``: added, modified or deleted; equal files aren't listed.
+
+    Presence is the row, not its hash: a listed file without a hash isn't absent.
+    """
+    a = old.select("path", F.col("hash").alias("old_hash"), F.lit(True).alias("was"))
+    b = new.select("path", F.col("hash").alias("new_hash"), F.lit(True).alias("now"))
     both = a.join(b, "path", "full")
     change = (
-        F.when(F.col("old_hash").isNull(), "added")
-        .when(F.col("new_hash").isNull(), "deleted")
-        .when(F.col("old_hash") != F.col("new_hash"), "modified")
+        F.when(F.col("was").isNull(), "added")
+        .when(F.col("now").isNull(), "deleted")
+        .when(~F.col("old_hash").eqNullSafe(F.col("new_hash")), "modified")
     )
     return both.select("path", change.alias("change")).where("change is not null")
 

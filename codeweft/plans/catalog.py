@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codeweft.functions.ids import symbol_id_column
 from codeweft.functions.text import BASE, MARKED
 from codeweft.operators import fulltext, mutate, names, search, traverse
-from codeweft.plans import derived
+from codeweft.plans import derived, sources
 from codeweft.plans import tables as t
 from codeweft.plans.model import Graph
+from codeweft.sources import config
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -349,9 +351,9 @@ _add(
 def _halves(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """An old file index and a new one: documents gone, added and changed."""
     docs = t.read(s, d, "documents").select("doc_id", "text", F.concat(F.lit("doc/"), F.col("doc_id").cast("string")).alias("path"))
-    old = docs.where("doc_id % 10 <> 1").select("path", F.sha2("text", 256).alias("hash"))
+    old = docs.where("doc_id % 10 <> 1").select("path", mutate.content_hash(F.col("text")).alias("hash"))
     changed = F.when(F.col("doc_id") % 10 == 3, F.concat("text", F.lit("!"))).otherwise(F.col("text"))
-    new = docs.where("doc_id % 10 <> 2").select("path", F.sha2(changed, 256).alias("hash"))
+    new = docs.where("doc_id % 10 <> 2").select("path", mutate.content_hash(changed).alias("hash"))
     return old, new
 
 
@@ -360,7 +362,7 @@ for _name, _digit in _CHANGED.items():
     _add(
         f"diff_{_name}",
         lambda s, d, n=_name: mutate.changes(*_halves(s, d)).where(F.col("change") == n).select("path"),
-        f"SELECT 'doc/' || doc_id AS path FROM documents WHERE doc_id % 10 = {_digit} AND text IS NOT NULL",
+        f"SELECT 'doc/' || doc_id AS path FROM documents WHERE doc_id % 10 = {_digit}" + (" AND text IS NOT NULL" if _name == "modified" else ""),
         graph=False,
     )
 
@@ -418,10 +420,16 @@ _add(
 
 
 def _flatten(s: SparkSession, d: str) -> DataFrame:
+    """Nations as projects with their suppliers as services; a nation's suppliers are one task's."""
     services = t.read(s, d, "supplier").groupBy("s_nationkey").agg(F.collect_list("s_name").alias("services"))
-    own = t.read(s, d, "nation").join(services, F.col("n_nationkey") == F.col("s_nationkey"), "left")
-    names = F.when(F.size("services") > 0, F.col("services")).otherwise(F.array("n_name"))
-    return own.select(F.explode(names).alias("project"))
+    own = t.read(s, d, "nation").join(services, F.col("n_nationkey") == F.col("s_nationkey"), "left").select("n_name", "services")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            given = [config.Project(n, n, "go", services=[config.Project(x, x, "go") for x in ([] if v is None else v)]) for n, v in zip(b.n_name, b.services, strict=True)]
+            yield pd.DataFrame({"project": [p.name for p in config.flatten(given)]})
+
+    return own.mapInPandas(run, "project string")
 
 
 _add(
@@ -433,11 +441,22 @@ _add(
 
 
 def _merge_excludes(s: SparkSession, d: str) -> DataFrame:
-    own = F.array(F.concat(F.lower("r_name"), F.lit("/")), F.lit("vendor/"))
-    return t.read(s, d, "region").select("r_name", F.array_join(F.array_distinct(F.concat(own, F.array(F.lit("vendor/"), F.lit("dist/")))), ",").alias("excludes"))
+    """Of every supplier, whose own excludes are its name and a default one."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            merged = [config.merge_excludes([f"{n}/", "vendor/", f"{n}/"]) for n in b.s_name]
+            yield pd.DataFrame({"s_name": b.s_name, "excludes": [",".join(m) for m in merged]})
+
+    return t.read(s, d, "supplier").select("s_name").mapInPandas(run, "s_name string, excludes string")
+
 
+_REST = ",".join(x for x in config.DEFAULT_EXCLUDES if x != "vendor/")
+_add("merge_excludes", _merge_excludes, f"SELECT s_name, s_name || '/,vendor/,{_REST}' AS excludes FROM supplier", graph=False)
 
-_add("merge_excludes", _merge_excludes, "SELECT r_name, lower(r_name) || '/,vendor/,dist/' AS excludes FROM region", graph=False)
+for _language in sources.SAMPLES:
+    _add(f"extract_{_language}_symbols", lambda s, d, x=_language: sources.symbols(s, d, x), sources.symbols_sql(_language), graph=False)
+    _add(f"extract_{_language}_edges", lambda s, d, x=_language: sources.edges(s, d, x), sources.edges_sql(_language), graph=False)
 
 
 def _page_links(s: SparkSession, d: str) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from codeweft.operators.mutate import content_hash
 from codeweft.plans.model import Graph
 
 
@@ -91,7 +92,7 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").join(region, F.pmod("doc_id", F.lit(5)) == region["r_regionkey"], "left")
     return docs.select(
         F.concat(F.lit("doc/"), F.col("doc_id").cast("string")).alias("path"),
-        F.sha2("text", 256).alias("hash"),
+        content_hash(F.col("text")).alias("hash"),
         F.lit(None).cast("timestamp").alias("mod_time"),
         F.col("r_name").alias("project_id"),
     )

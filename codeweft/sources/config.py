@@ -6,6 +6,7 @@ import json
 import logging
 import os
 import re
+from collections.abc import Iterable, Iterator
 from dataclasses import asdict, dataclass, field
 
 CONFIG_NAME = "codeweft.json"
@@ -121,11 +122,23 @@ def go_module_name(text: str) -> str:
     return m[1].strip('"').rstrip("/").split("/")[-1] if m else ""
 
 
-def detect(root: str) -> list[Project]:
-    """Projects by their manifests, in walk order; hidden and dependency directories aren't entered."""
-    root, out = os.path.abspath(root), []
+#: What tells a project's folder. Fixed values.
+MANIFESTS = ("go.mod", "package.json", "tsconfig.json", "pyproject.toml", "setup.py", "*.csproj", "Cargo.toml", "build.zig")
+
+
+def folders(root: str) -> Iterator[tuple[str, list[str]]]:
+    """Relative folders and their files; hidden and dependency directories aren't entered."""
     for at, dirs, files in os.walk(root):
-        dirs[:] = sorted(d for d in dirs if not d.startswith(".") and d not in NOT_ENTERED)
+        dirs[:] = [d for d in dirs if not d.startswith(".") and d not in NOT_ENTERED]
+        yield os.path.relpath(at, root).replace(os.sep, "/"), files
+
+
+def detect(root: str, found: Iterable[tuple[str, list[str]]] | None = None) -> list[Project]:
+    """Projects by their manifests, in walk order; ``found`` gives folders and files if they are listed already."""
+    root, out = os.path.abspath(root), []
+    by_name = lambda f: [] if f[0] == "." else f[0].split("/")
+    for rel, files in sorted(folders(root) if found is None else found, key=by_name):
+        at = os.path.normpath(os.path.join(root, rel))
         here = os.path.basename(at)
         for f in sorted(files):
             name, language = here, None
@@ -143,7 +156,6 @@ def detect(root: str) -> list[Project]:
             elif f == "build.zig":
                 language = "zig"
             if language:
-                rel = os.path.relpath(at, root).replace(os.sep, "/")
                 out.append(Project(name, rel, language, list(DEFAULT_EXCLUDES)))
     return out
 

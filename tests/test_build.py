@@ -51,6 +51,32 @@ def test_walk_keeps_underscored_files_and_prunes(tree):
     assert list(scan.walk(str(tree / "nowhere"), [], (".go",))) == []
 
 
+def test_listing_by_tasks(spark, tree):
+    for k in range(40):
+        deep = tree / "svc" / f"d{k % 4}" / f"e{k % 10}" / f"f{k}"
+        deep.mkdir(parents=True)
+        (deep / f"x{k}.go").write_text("package x\n")
+        (deep / "vendor").mkdir()
+        (deep / "vendor" / "v.go").write_text("package v\n")
+    os.symlink(tree / "svc", tree / "web" / "link")
+    trees = [scan.Tree(str(tree), ("vendor/",), (".go",)), scan.Tree(str(tree / "web"), (), (".js",)), scan.Tree(str(tree / "no"), (), (".js",))]
+    want = [{os.path.relpath(p, t.root) for p in scan.walk(t.root, list(t.excludes), t.extensions)} for t in trees]
+    for most in (1, 7, 2000):
+        rows = scan.listed(spark, trees, per_task=most).collect()
+        assert [{r.rel for r in rows if r.nth == i} for i in range(3)] == want and len(rows) == sum(map(len, want)) == 44
+        assert all(r.mod_time is not None for r in rows)
+    for some in (1, 5, 1000):
+        parts = scan.subtrees(str(tree), ["vendor/"], some)
+        got = [p for d, deep in parts for p in scan.walk(str(tree), ["vendor/"], (".go",), d, deep)]
+        assert len(got) == len(set(got)) and {os.path.relpath(p, tree) for p in got} == want[0]
+    (tree / ".hidden").mkdir()
+    (tree / ".hidden" / "go.mod").write_text("module no\n")
+    (tree / "go.mod").write_text("module top\n")
+    assert build.detect(spark, str(tree)) == config.detect(str(tree)) and len(config.detect(str(tree))) == 3
+    read = scan.read_tree(spark, str(tree), "p", ["vendor/"], (".go",)).collect()
+    assert {os.path.relpath(r.path, tree) for r in read} == want[0] and all(bytes(r.content).startswith(b"package") for r in read)
+
+
 def test_config(tree, tmp_path):
     found = config.detect(str(tree))
     assert [(p.name, p.path, p.language) for p in found] == [("pay", "svc", "go"), ("web", "web", "javascript")]
