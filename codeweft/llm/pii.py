@@ -487,11 +487,15 @@ def _listed(spans: Column) -> Column:
 
 
 def find_pii(documents: DataFrame) -> DataFrame:
-    """``doc_id, n_email, n_ip, n_card, n_phone, base_sha256, n_added, spans`` for every row."""
+    """``doc_id, n_email, n_ip, n_card, n_phone, base_sha256, n_added, n_secret, n_discovered, spans`` for every row.
+
+    What is added to the base spans is told apart: secrets are seeds, found by their assignment;
+    only the discovered ones come from contexts.
+    """
     ws = Workspace(documents.sparkSession, "pii")
     seen = scan(documents.select("doc_id", "text"), ["doc_id"], ws)
     base = F.filter("_seeds", lambda s: s["kind"] < BASE_KINDS)
-    seen = seen.select("doc_id", base.alias("_base"), "_all")
+    seen = seen.select("doc_id", base.alias("_base"), F.size("_seeds").alias("_known"), "_all")
     kinds = F.transform("_base", lambda s: s["kind"])
     counts = [F.size(F.filter(kinds, (lambda k: lambda x: x == k)(k))).cast("long").alias(f"n_{n}") for k, n in enumerate(KINDS[:BASE_KINDS])]
     return seen.select(
@@ -499,6 +503,8 @@ def find_pii(documents: DataFrame) -> DataFrame:
         *counts,
         F.sha2(_listed(F.col("_base")), 256).alias("base_sha256"),
         (F.size("_all") - F.size("_base")).cast("long").alias("n_added"),
+        (F.col("_known") - F.size("_base")).cast("long").alias("n_secret"),
+        (F.size("_all") - F.col("_known")).cast("long").alias("n_discovered"),
         _listed(F.col("_all")).alias("spans"),
     )
 

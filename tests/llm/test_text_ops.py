@@ -61,7 +61,7 @@ def test_contexts_discover_what_no_pattern_knows(spark):
     rows += [(50, "call my phone number: 0555-8887-66x today please"), (51, "serial 0555-8887-66x alone"), (52, "the code AB-12345-Q is no secret")]
     docs = make(spark, rows)
     got = {r.doc_id: r for r in pii.find_pii(docs).collect()}
-    assert got[50].spans == "phone:22:35" and got[50].n_added == 1 and got[52].spans == "" and got[51].n_added == 0
+    assert got[50].spans == "phone:22:35" and got[50].n_added == got[50].n_discovered == 1 and got[52].spans == "" and got[51].n_added == 0
     red = {r.doc_id: r for r in pii.redact(docs).collect()}
     assert red[50].text == "call my phone number: <PHONE> today please" and red[0].text.startswith("call my phone number: <PHONE> today")
     assert red[50].kept == "k" and pii.redact(docs).columns == docs.columns
@@ -190,6 +190,8 @@ def test_secrets_are_seeds(spark):
     rows = [(1, f'x token = "{value}"### y'), (2, f'TOKEN: "{value.upper()}"'), (3, f'name = "{value}"'), (4, 'token = "short"')]
     got = {r.doc_id: (r.spans, r.n_added, r.base_sha256) for r in pii.find_pii(make(spark, rows)).collect()}
     none = hashlib.sha256(b"").hexdigest()
+    told = {r.doc_id: (r.n_secret, r.n_discovered) for r in pii.find_pii(make(spark, rows)).collect()}
+    assert told[1] == told[2] == (1, 0) and told[3] == told[4] == (0, 0)
     assert got == {1: ("secret:11:51", 1, none), 2: ("secret:8:48", 1, none), 3: ("", 0, none), 4: ("", 0, none)}
 
 
