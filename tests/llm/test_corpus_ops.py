@@ -454,32 +454,3 @@ def test_query_equals_sql(spark, name):
     told = lambda v: round(v, 9) if isinstance(v, float) else v
     want = Counter(tuple(told(r[i]) for i in order) for r in rel.fetchall())
     assert Counter(tuple(told(r[c]) for c in sorted(df.columns)) for r in df.collect()) == want
-
-
-# ---- the pipeline
-
-
-def test_pipeline(spark, tmp_path, rows):
-    import corpus_pipeline
-    from codeweft.llm import packing, pii, quality
-
-    make(spark, rows).drop("kept", "n_words", "component_id").write.parquet(str(tmp_path / "documents.parquet"))
-    item = " ".join(rows[7][1].split()[:20])
-    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
-    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
-    texts = [(r.doc_id, r.text) for r in quality.keep_good(docs).collect()]
-    kept = [x for x, (i, _, c) in zip(texts, plain_classes(texts, 5), strict=True) if i == c]
-    leaked = {i for i, _, _ in plain_leaks(kept, [(1, item)])}
-    clean = [(i, t) for i, t in kept if i not in leaked]
-    assert leaked and len(kept) < len(texts) < len(rows)
-    encode, want = packing.encoder(), Counter()
-    for i, _ in clean:
-        masked = [t for j, t in clean if j == i]
-        want[i] = sum(len([*encode(t), packing.END]) for t in masked)
-    got = Counter()
-    for r in corpus_pipeline.run(spark, str(tmp_path)).collect():
-        got[r.doc_id] += r.length
-    assert got == want and len(corpus_pipeline.STAGES) == 5
-    for _, stage in corpus_pipeline.STAGES:
-        assert stage(spark, docs.where("false"), str(tmp_path)).count() == 0
-    assert pii.redact(docs.where("false")).columns == docs.columns
