@@ -79,7 +79,7 @@ _add(
 )
 _add(
     "symbol_lookup",
-    lambda s, d: search.lookup(t.symbols(s, d), "supplier:7"),
+    lambda s, d: search.lookup(derived.symbols(s, d).near(["supplier:7"]), "supplier:7"),
     f"SELECT {_SYMBOL} FROM symbols WHERE id = 'supplier:7'",
 )
 _add("symbol_missing", lambda s, d: search.lookup(t.symbols(s, d), "supplier:none"), f"SELECT {_SYMBOL} FROM symbols WHERE false")
@@ -191,7 +191,7 @@ def _all_calls(near: traverse.Adjacency) -> DataFrame:
 def _calls(run, depth: int, end: str):
     def of(s: SparkSession, d: str) -> DataFrame:
         near = derived.adjacency(s, d)
-        return run(t.symbols(s, d), near, t.busiest(_all_calls(near), end), depth)
+        return run(derived.symbols(s, d).all(), near, t.busiest(_all_calls(near), end), depth)
 
     return of
 
@@ -208,27 +208,27 @@ for _name, _run, _forward, _depth in (
 
 _add(
     "dependencies_d2",
-    lambda s, d: traverse.dependencies(t.symbols(s, d), derived.adjacency(s, d), "customer:11", 2),
+    lambda s, d: traverse.dependencies(derived.symbols(s, d).all(), derived.adjacency(s, d), "customer:11", 2),
     _walk_sql("imports", True, 2, "SELECT 'customer:11' AS id"),
     recursive=True,
 )
 for _depth in (1, 2):
     _add(
         f"dependents_d{_depth}",
-        lambda s, d, n=_depth: traverse.dependents(t.symbols(s, d), derived.adjacency(s, d), "region:2", n),
+        lambda s, d, n=_depth: traverse.dependents(derived.symbols(s, d).all(), derived.adjacency(s, d), "region:2", n),
         _walk_sql("imports", False, _depth, "SELECT 'region:2' AS id"),
         recursive=True,
     )
 _add(
     "implementors",
-    lambda s, d: traverse.implementors(t.symbols(s, d), derived.adjacency(s, d), "supplier:3"),
+    lambda s, d: traverse.implementors(derived.symbols(s, d).all(), derived.adjacency(s, d), "supplier:3"),
     f"SELECT {_SYMBOL} FROM symbols WHERE id IN (SELECT from_id FROM edges WHERE kind = 'implements' AND to_id = 'supplier:3')",
 )
 
 
 def _detail(s: SparkSession, d: str) -> DataFrame:
     near = derived.adjacency(s, d)
-    return traverse.detail(t.symbols(s, d), near, t.busiest(_all_calls(near)))
+    return traverse.detail(derived.symbols(s, d).all(), near, t.busiest(_all_calls(near)))
 
 
 _add(
