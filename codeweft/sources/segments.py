@@ -28,12 +28,15 @@ class Segment:
         self.spark, self.path, self.schema, self.key = spark, path, schema, list(key)
 
     @classmethod
-    def write(cls, df: DataFrame, path: str, key: Sequence[str], rows: int = ROWS, ready: bool = False) -> Segment:
-        """``ready``: the rows are read from a table, so that taking them twice (ranges are sampled first) costs little."""
-        spark, ws = df.sparkSession, Workspace(df.sparkSession, "segment")
+    def write(cls, df: DataFrame, path: str, key: Sequence[str], rows: int = ROWS, ready: bool = False, few: bool = False) -> Segment:
+        """``ready``: the rows are read from a table, so that taking them twice (ranges are sampled first) costs little.
+
+        ``few``: one task may sort them all.
+        """
+        spark, ws, ready = df.sparkSession, Workspace(df.sparkSession, "segment"), ready or few
         given = df if ready else ws.put(df)
-        dealt = given.repartitionByRange(*key).sortWithinPartitions(*key)
-        dealt.write.option("maxRecordsPerFile", rows).parquet(f"{path}/rows")
+        dealt = given.coalesce(1) if few else given.repartitionByRange(*key)
+        dealt.sortWithinPartitions(*key).write.option("maxRecordsPerFile", rows).parquet(f"{path}/rows")
         out = cls(spark, path, given.schema, key)
         first = F.col(key[0])
         files = out.all().groupBy(F.col("_metadata.file_name").alias("file"))

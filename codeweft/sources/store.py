@@ -55,6 +55,8 @@ TOTALS = "project_id string, symbol_count bigint, edge_count bigint, file_count
 WHOLE = {"projects": PROJECTS, "totals": TOTALS}
 LISTS = {"gone": "file string", "changed": "id string, vanished boolean"}
 MOST_PARTS = 16
+#: Changed files whose rows one task may sort.
+FEW = 100
 #: Keys that a lookup names; beyond that tables are joined.
 SMALL = 10_000
 TRIES = 5
@@ -283,11 +285,11 @@ class Store:
                     if both:
                         raise Conflict(f"commit {version} has changed {', '.join(both)}")
 
-    def _put(self, part: str, name: str, df: DataFrame, ready: bool = False) -> DataFrame:
+    def _put(self, part: str, name: str, df: DataFrame, ready: bool = False, few: bool = False) -> DataFrame:
         at = f"{self.path}/{part}/{name}"
         if name in TABLES:
             ddl, key, _ = TABLES[name]
-            return Segment.write(df.select(*StructType.fromDDL(ddl).names), at, key, ready=ready).all()
+            return Segment.write(df.select(*StructType.fromDDL(ddl).names), at, key, ready=ready, few=few).all()
         ddl = WHOLE.get(name) or LISTS[name]
         df.select(*StructType.fromDDL(ddl).names).coalesce(1).write.parquet(at)
         return self.spark.read.schema(ddl).parquet(at)
@@ -305,10 +307,10 @@ class Store:
         self._put(part, "totals", _counted([(symbols, "symbol_count", 1), (edges.join(owner, "from_id"), "edge_count", 1), (files, "file_count", 1)]))
         return part
 
-    def _put_indexes(self, part: str, symbols: DataFrame) -> None:
-        self._put(part, "postings", fulltext.index(symbols))
-        self._put(part, "grams", names.index(symbols), ready=True)
-        self._put(part, "named", symbols.where("kind <> 'module'"), ready=True)
+    def _put_indexes(self, part: str, symbols: DataFrame, few: bool = False) -> None:
+        self._put(part, "postings", fulltext.index(symbols), few=few)
+        self._put(part, "grams", names.index(symbols), ready=True, few=few)
+        self._put(part, "named", symbols.where("kind <> 'module'"), ready=True, few=few)
 
     def _write_merged(self, view: Snapshot | None, changes: Changes, gone: DataFrame) -> str:
         """A whole part of the last state with the changes."""
@@ -326,9 +328,11 @@ class Store:
 
     def _write_part(self, view: Snapshot, changes: Changes, gone: DataFrame, ws: Workspace) -> str:
         part = f"part-{uuid.uuid4().hex}"
-        new = self._put(part, "raw_symbols", changes.symbols, ready=True)
-        new_edges = self._put(part, "raw_edges", changes.edges, ready=True)
-        new_files = self._put(part, "files", changes.files, ready=True)
+        # what so few files declare, one task can sort; edges of others that they bring to life may be many
+        few = len(gone.take(FEW + 1)) <= FEW
+        new = self._put(part, "raw_symbols", changes.symbols, ready=True, few=few)
+        new_edges = self._put(part, "raw_edges", changes.edges, ready=True, few=few)
+        new_files = self._put(part, "files", changes.files, ready=True, few=few)
         self._put(part, "projects", changes.projects)
         self._put(part, "gone", gone)
 
@@ -343,8 +347,8 @@ class Store:
         moved = F.expr("o is not null and n is not null and not (o.project_id <=> n.project_id)")
         changed = ws.put(both.select("id", F.expr("n is null").alias("vanished"), F.expr("o is null").alias("appeared"), moved.alias("moved")))
         self._put(part, "changed", changed)
-        fresh = self._put(part, "symbols", now.join(changed, "id", "left_semi"), ready=True)
-        self._put_indexes(part, fresh)
+        fresh = self._put(part, "symbols", now.join(changed, "id", "left_semi"), ready=True, few=few)
+        self._put_indexes(part, fresh, few)
 
         # new edges, and old ones of other files that found an end now
         appeared, vanished = changed.where("appeared").select("id"), changed.where("vanished").select("id")
