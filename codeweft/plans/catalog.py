@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from codeweft.functions.ids import symbol_id_column
 from codeweft.functions.text import BASE, MARKED
 from codeweft.operators import fulltext, mutate, names, search, traverse
-from codeweft.plans import derived, sources
+from codeweft.plans import derived, sources, upkeep
 from codeweft.plans import tables as t
 from codeweft.plans.model import Graph
 from codeweft.sources import config
@@ -489,3 +489,6 @@ _add(
     f"SELECT DISTINCT {_MODULE.format('url')} AS from_id, {_MODULE.format('target')} AS to_id FROM ({_LINKS_SQL})",
     graph=False,
 )
+
+QUERIES |= upkeep.QUERIES
+ORACLES |= upkeep.ORACLES

@@ -10,12 +10,14 @@ from collections.abc import Callable
 from typing import TypeVar
 
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
 from codeweft.operators import fulltext, names
 from codeweft.operators.traverse import Adjacency
 from codeweft.plans import tables as t
 from codeweft.sources.scratch import Workspace
 from codeweft.sources.segments import Segment
+from codeweft.sources.store import Changes, Snapshot, Store
 
 T = TypeVar("T")
 _BUILT: dict[tuple, object] = {}
@@ -66,3 +68,27 @@ def symbols_by_name(spark: SparkSession, sf_dir: str) -> Segment:
     """All symbols but modules, in the order of pages."""
     build = lambda at: Segment.write(t.symbols(spark, sf_dir).where("kind <> 'module'"), at, ("name", "id"))
     return _built(spark, sf_dir, "by_name", _SYMBOL_TABLES, build)
+
+
+def store(spark: SparkSession, sf_dir: str) -> Snapshot:
+    """A store of the whole graph after two commits: all of it, then two files removed and one replaced.
+
+    Of the replaced file's symbols those on odd lines stay, under new names.
+    """
+
+    def build(at: str) -> Snapshot:
+        out, graph = Store(spark, at), t.graph(spark, sf_dir)
+        held = Workspace(spark, "graph")
+        symbols, edges = held.put(graph.symbols), held.put(graph.edges)
+        mod_time = F.lit(None).cast("timestamp").alias("mod_time")
+        files = symbols.groupBy("file").agg(F.min("project_id").alias("project_id"))
+        files = held.put(files.select(F.col("file").alias("path"), F.lit("first").alias("hash"), mod_time, "project_id"))
+        out.commit(graph.projects, symbols, edges, files)
+        here = F.col("file") == "parts/Brand#11"
+        renewed = held.put(symbols.where(here & (F.col("start_line") % 2 == 1)).withColumn("name", F.concat("name", F.lit(" renewed"))))
+        again = held.put(files.where("path = 'parts/Brand#11'").withColumn("hash", F.lit("second")))
+        gone = spark.createDataFrame([("customers/BUILDING",), ("nations/ASIA",)], "file string")
+        out.apply(Changes(gone, renewed, edges.limit(0), again, graph.projects))
+        return out.snapshot()
+
+    return _built(spark, sf_dir, "store", (*_SYMBOL_TABLES, "lineitem"), build)
