@@ -9,8 +9,11 @@ that a build would, and writes only what changed.
 
 from __future__ import annotations
 
+import contextlib
+import datetime
 import hashlib
 import os
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -65,23 +68,59 @@ def extract_files(files: DataFrame) -> DataFrame:
     return files.select("path", "project_id", "content").mapInPandas(run, _ROW)
 
 
+def _trees(workspace: config.Workspace, root: str) -> list[tuple[str, Tree]]:
+    """Name and tree of each project; of those that hold a file the last has it."""
+    out = []
+    for p in config.flatten(workspace.projects):
+        if not config.contained(root, p.path):
+            raise config.ConfigError(f"project {p.name!r}: {p.path} is outside the workspace")
+        at = os.path.abspath(os.path.join(root, p.path))
+        out.append((p.name, Tree(at, tuple(config.merge_excludes(p.exclude)), tuple(extensions()))))
+    return out
+
+
 def scan(spark: SparkSession, workspace: config.Workspace, root: str) -> DataFrame:
     """All source files of all projects, unread; a file of several projects belongs to the last."""
-    projects = config.flatten(workspace.projects)
-    if not projects:
+    trees = _trees(workspace, root)
+    if not trees:
         return spark.createDataFrame([], _LISTED)
-    for p in projects:
-        if not config.contained(root, p.path):
-            raise config.ConfigError(f"project {p.name!r}: {p.path} is outside the workspace")
-    at = [os.path.normpath(os.path.join(root, p.path)) for p in projects]
-    trees = [Tree(a, tuple(config.merge_excludes(p.exclude)), tuple(extensions())) for a, p in zip(at, projects, strict=True)]
-    names = spark.createDataFrame([(i, os.path.abspath(a), p.name) for i, (a, p) in enumerate(zip(at, projects, strict=True))], "nth int, root string, project_id string")
-    found = listed(spark, trees).join(F.broadcast(names), "nth")  # one row a project
+    names = spark.createDataFrame([(i, t.root, name) for i, (name, t) in enumerate(trees)], "nth int, root string, project_id string")
+    found = listed(spark, [t for _, t in trees]).join(F.broadcast(names), "nth")  # one row a project
     found = found.withColumn("path", F.concat_ws("/", F.expr("rtrim('/', root)"), "rel"))
     last = found.groupBy("path").agg(F.max_by(F.struct("project_id", "mod_time"), "nth").alias("file"))
     return last.select("path", "file.project_id", "file.mod_time")
 
 
+def placed(paths: DataFrame, workspace: config.Workspace, root: str) -> DataFrame:
+    """Of the files ``paths(path)`` those that ``scan`` would find, as it gives them, without listing the trees."""
+    trees = _trees(workspace, root)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tests = [(name, t.root.rstrip("/") + "/", *t.tests()) for name, t in trees]
+
+        def owner(path: str) -> str | None:
+            last = None
+            for name, base, enter, wanted in tests:
+                rel = path.removeprefix(base)
+                above = [rel[:i] for i, c in enumerate(rel) if c == "/"]
+                if path.startswith(base) and wanted(rel) and all(enter(a) and not os.path.islink(base + a) for a in above):
+                    last = name
+            return last
+
+        for batch in batches:
+            rows = []
+            for given in batch.column(0).to_pylist():
+                path = re.sub("^file:/+", "/", given or "")
+                with contextlib.suppress(OSError):
+                    if (name := owner(path)) is not None and os.path.isfile(path):
+                        rows.append((path, name, datetime.datetime.fromtimestamp(os.stat(path).st_mtime, datetime.timezone.utc)))
+            columns = list(zip(*rows, strict=True)) or [(), (), ()]
+            types = (pa.string(), pa.string(), pa.timestamp("us", "UTC"))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["path", "project_id", "mod_time"])
+
+    return paths.select("path").mapInArrow(run, _LISTED).dropDuplicates(["path"])
+
+
 def detect(spark: SparkSession, root: str) -> list[config.Project]:
     """As config.detect, the tree listed by tasks; the driver sees manifests only."""
     tree = Tree(root, (".*/", *(f"{d}/" for d in sorted(config.NOT_ENTERED))), names=config.MANIFESTS)
@@ -114,14 +153,15 @@ def opened(files: DataFrame, contents: bool = True) -> DataFrame:
     return files.select("path", "project_id", "mod_time").mapInArrow(run, f"{_LISTED}, hash string, content binary")
 
 
-def run(spark: SparkSession, store: Store, workspace: config.Workspace, root: str, trust_times: bool = True) -> Summary:
+def run(spark: SparkSession, store: Store, workspace: config.Workspace, root: str, trust_times: bool = True, only: DataFrame | None = None) -> Summary:
     """Bring the store up to the source trees.
 
     ``trust_times``: a file whose time is the index's, to the second, is taken as unchanged, unread.
+    ``only(path)``: the files to look at, in place of all trees; what is gone from the trees stays then.
     """
     scratch, tasks = Scratch(spark, "build"), max(1, spark.sparkContext.defaultParallelism * 4)
-    listed = scratch.put(scan(spark, workspace, root))
-    index = store.table("files")
+    listed, view = scratch.put(scan(spark, workspace, root) if only is None else placed(only, workspace, root)), store.snapshot()
+    index = store.table("files") if only is None or view is None else view.those("files", listed.select("path"))
     due = mutate.unread(listed, index) if trust_times else listed
     read = scratch.put(opened(due.repartition(tasks), contents=False).drop("content"))
     known = listed.join(due.select("path"), "path", "left_anti").join(index.select("path", "hash"), "path")

@@ -230,6 +230,16 @@ def test_following_a_folder(spark, tree, tmp_path):
     run()
     run()
     assert store.version() == 2 and api.Engine(store).search(name="Late")
+    # a batch looks at its own files: one new, one rewritten, one excluded, one no source; others' changes wait for a build
+    (tree / "svc/deep").mkdir()
+    (tree / "svc/deep/d.go").write_text("package d\nfunc Deep() {}\n")
+    (tree / "svc/vendor/w.go").write_text("package v\nfunc W() {}\n")
+    (tree / "svc/notes.txt").write_text("func No() {}\n")
+    (tree / "web/x.js").write_text("function three() {}\n")
+    (tree / "svc/b.go").unlink()
+    run()
+    found = lambda s: {r["Name"] for r in api.Engine(s).search(limit=100)}
+    assert store.version() == 3 and {"Deep", "Other", "one", "Late"} <= found(store) and not {"W", "No", "three"} & found(store)
 
 
 def test_extraction_rows(spark):
