@@ -224,3 +224,13 @@ def test_ids_and_dispatch():
 def test_broken_files_never_raise(path, src):
     extract(path, src)
     extract(path, src * 3 + "\nfunc a() {")
+
+
+def test_files_of_few_bytes_are_scanned_by_many_tasks(spark, tmp_path):
+    from codeweft.plans import sources, upkeep
+
+    parts = spark.range(500).selectExpr("id as p_partkey", "'b' as p_brand").coalesce(1)
+    parts.write.parquet(f"{tmp_path}/part.parquet")
+    tasks = 4 * spark.sparkContext.defaultParallelism
+    for df in (sources.symbols(spark, str(tmp_path), "typescript"), sources.edges(spark, str(tmp_path), "rust"), upkeep._paths(spark, str(tmp_path))):
+        assert df.rdd.getNumPartitions() >= tasks
