@@ -196,3 +196,11 @@ def test_broken_queries_fail_as_in_sqlite(query, lite):
 
 def test_tokens():
     assert tokens_of("handle_payment(Ünïcode x.Y)") == ["handle", "payment", "unicode", "x", "y"]
+
+
+def test_an_index_is_made_where_texts_are_read(spark):
+    docs = symbols(spark, ["a"], doc_comment="the cat the Cat").union(symbols(spark, ["b"], doc_comment="")).union(symbols(spark, ["c"], name=None))
+    made = fulltext.index(docs)
+    assert "Exchange" not in made._jdf.queryExecution().executedPlan().toString()
+    got = sorted((r.term, r.field, r.id, r.positions) for r in made.collect())
+    assert got == [("a", "name", "a", [1]), ("b", "name", "b", [1]), ("cat", "doc_comment", "a", [2, 4]), ("the", "doc_comment", "a", [1, 3])]
