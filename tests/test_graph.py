@@ -204,3 +204,21 @@ def test_an_index_is_made_where_texts_are_read(spark):
     assert "Exchange" not in made._jdf.queryExecution().executedPlan().toString()
     got = sorted((r.term, r.field, r.id, r.positions) for r in made.collect())
     assert got == [("a", "name", "a", [1]), ("b", "name", "b", [1]), ("cat", "doc_comment", "a", [2, 4]), ("the", "doc_comment", "a", [1, 3])]
+
+
+def test_dependencies_read_no_edges_of_other_kinds(spark, tmp_path):
+    from codeweft.plans import catalog
+
+    for name in ("region", "nation", "customer", "supplier", "part"):  # lineitem, of which calls are made, isn't there
+        spark.read.parquet(f"/root/testdata/sf0.001/{name}.parquet").write.parquet(f"{tmp_path}/{name}.parquet")
+    assert catalog.QUERIES["dependencies_d2"](spark, str(tmp_path)).count() == 2
+
+
+def test_neighbouring_starts_share_rows(spark, monkeypatch):
+    monkeypatch.setattr(traverse, "WORD", 2)
+    starts = [f"n{i}" for i in range(8, 24)]
+    pairs = [(f"n{i}", f"to{i // 2}.{k}") for i in range(8, 24) for k in range(5)]
+    found, run = [], traverse.reach_bits
+    monkeypatch.setattr(traverse, "reach_bits", lambda *a: found.append(run(*a)) or found[-1])
+    many = {(r.seed, r.id) for r in traverse.reach(edges(spark, pairs), symbols(spark, starts[::-1]), 1, True, "calls").collect()}
+    assert many == set(pairs) and found[0][1].count() <= 60  # 40 if every partition's first number is even
