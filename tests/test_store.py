@@ -130,3 +130,21 @@ def test_an_abandoned_commit_is_passed_over(spark, tmp_path, monkeypatch):
     files["b"] = content(rnd, "b")
     assert store.apply(changes(spark, files, ["b"], [])) == 3 and store.version() == 3
     assert {r.path for r in store.table("files").collect()} == {"a", "b"}
+
+
+def test_few_files_of_many_rows_are_sorted_by_many_tasks(spark, tmp_path, monkeypatch):
+    class Seen(Exception):
+        pass
+
+    def write(*args, few=False, **more):
+        raise Seen(few)
+
+    rnd = random.Random(5)
+    files = {"a": content(rnd, "a"), "b": content(rnd, "b")}
+    view = fresh(spark, str(tmp_path / "s"), files)
+    monkeypatch.setattr(st.Segment, "write", write)
+    for most, few in ((100_000, True), (0, False)):
+        monkeypatch.setattr(st, "FEW_ROWS", most)
+        with pytest.raises(Seen) as seen:
+            view.apply(changes(spark, files, ["a"], []))
+        assert seen.value.args == (few,)
