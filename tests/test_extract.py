@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 import pytest
 
 from codeweft.functions.ids import symbol_id
@@ -234,3 +236,34 @@ def test_files_of_few_bytes_are_scanned_by_many_tasks(spark, tmp_path):
     tasks = 4 * spark.sparkContext.defaultParallelism
     for df in (sources.symbols(spark, str(tmp_path), "typescript"), sources.edges(spark, str(tmp_path), "rust"), upkeep._paths(spark, str(tmp_path))):
         assert df.rdd.getNumPartitions() >= tasks
+
+
+#: Files with a long word, by extension.
+LONG = {
+    ".cs": "class A { int %s = f(1); }",
+}
+
+
+@pytest.mark.parametrize("extension", LONG)
+def test_long_words_take_time_by_their_length(extension):
+    """Tried from each of its letters, a word of 20,000 took seconds to minutes."""
+    began = time.monotonic()
+    extract(f"a{extension}", LONG[extension] % ("x" * 20_000))
+    assert time.monotonic() - began < 3
+
+
+@pytest.mark.parametrize("query", ["extract_csharp_edges"])
+def test_scanned_parts_of_one_file_are_dealt_out(spark, tmp_path, query):
+    from codeweft.plans import catalog
+
+    spark.range(50).selectExpr("id as p_partkey", "'b' as p_brand").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    df = catalog.QUERIES[query](spark, str(tmp_path))
+    assert df.rdd.getNumPartitions() >= 4 * spark.sparkContext.defaultParallelism
+    assert df.select("file").distinct().count() == 50
+
+
+def test_csharp_members_as_before():
+    src = "class A {\n  xpublic int F(int a) { G(); }\n  Task<List<int>, B[]>? Go<T>(T t) where T : new() => H();\n  static new A.B make () ;\n  1x(\n}\n"
+    symbols, edges = rows("a.cs", src)
+    assert symbols == {("A", "class", 1, 6), ("A.F", "method", 2, 2), ("A.Go", "method", 3, 3), ("A.make", "method", 4, 4)}
+    assert edges == {("A.F", "?", "calls", 2), ("A.Go", "?", "calls", 3), ("A", "?", "calls", 5)}
