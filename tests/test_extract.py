@@ -241,6 +241,7 @@ def test_files_of_few_bytes_are_scanned_by_many_tasks(spark, tmp_path):
 #: Files with a long word, by extension.
 LONG = {
     ".cs": "class A { int %s = f(1); }",
+    ".rs": "fn a() { let %s = f(1); }",
 }
 
 
@@ -252,7 +253,7 @@ def test_long_words_take_time_by_their_length(extension):
     assert time.monotonic() - began < 3
 
 
-@pytest.mark.parametrize("query", ["extract_csharp_edges"])
+@pytest.mark.parametrize("query", ["extract_csharp_edges", "extract_rust_symbols"])
 def test_scanned_parts_of_one_file_are_dealt_out(spark, tmp_path, query):
     from codeweft.plans import catalog
 
