@@ -243,6 +243,7 @@ LONG = {
     ".cs": "class A { int %s = f(1); }",
     ".rs": "fn a() { let %s = f(1); }",
     ".zig": "fn a() void { const %s = f(1); }",
+    ".js": "function a() { let %s = f(1); }",
 }
 
 
@@ -254,7 +255,7 @@ def test_long_words_take_time_by_their_length(extension):
     assert time.monotonic() - began < 3
 
 
-@pytest.mark.parametrize("query", ["extract_csharp_edges", "extract_rust_symbols", "extract_zig_edges", "extract_zig_symbols"])
+@pytest.mark.parametrize("query", ["extract_csharp_edges", "extract_rust_symbols", "extract_zig_edges", "extract_zig_symbols", "extract_javascript_symbols", "extract_javascript_edges"])
 def test_scanned_parts_of_one_file_are_dealt_out(spark, tmp_path, query):
     from codeweft.plans import catalog
 
